@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,15 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 def lower_ascii(text: str) -> str:
     """A-Z to a-z, everything else as it is."""
     return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for the jobs run inside, where a row can hold two long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
