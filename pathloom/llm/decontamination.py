@@ -57,7 +57,7 @@ def most_edits(n: int) -> int:
 
 
 def _bits(symbols: np.ndarray, step: int, walk: int) -> np.ndarray:
-    h = (symbols.astype(np.uint64) + np.uint64(1)) * _STEP + np.uint64((step * 64 + walk) * 2 + 1) * _MIX
+    h = (symbols.astype(np.uint64) + np.uint64(1)) * _STEP + np.uint64((step * 64 + walk) * 2 + 1 & 0xFFFF_FFFF)
     h = (h ^ (h >> np.uint64(29))) * _MIX
     return ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
 
@@ -88,7 +88,7 @@ def keys(rows: np.ndarray, walk: int) -> list[np.ndarray]:
     tables = samples(rows.shape[1], walk)
     steps = sorted({s for t in tables for s in t})
     seen, place = embed(rows, walk, steps), {s: i for i, s in enumerate(steps)}
-    return [sum((seen[:, place[s]].astype(np.uint64) + np.uint64(3)) * (_STEP * np.uint64(2 * i + 1)) * _MIX for i, s in enumerate(t)) for t in tables]
+    return [sum((seen[:, place[s]].astype(np.uint64) + np.uint64(3)) * _STEP * np.uint64(2 * i + 1) * _MIX for i, s in enumerate(t)) for t in tables]
 
 
 def edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -38,6 +38,8 @@ WEIGHTS: dict[tuple[str, ...], float] = {
     ("web", "en"): 5, ("web", "de"): 2, ("web", "fr"): 2, ("web", "es"): 1,
     ("books", "en"): 2, ("code", "en"): 3,
 }
+#: Columns that mix() adds; a document's own columns of these names are left out.
+MADE = ("mix_domain", "mix_epoch", "mix_tokens", "mix_take")
 #: The budget as a share of the corpus.
 BUDGET_SHARE = 0.9
 
@@ -100,9 +102,9 @@ def allocate(leaves: list[Leaf], weights: Mapping[tuple[str, ...], float], budge
     return down((), leaves, budget) if leaves else {}
 
 
-def _order(seed: str, epoch: Column) -> Column:
+def _order(seed: str, epoch: Column, doc_id: Column) -> Column:
     """60 bits of md5 of seed, epoch and doc_id."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, weights: Mapping[tuple[str, ...], float], budget: int | None = None, share: float = BUDGET_SHARE, epochs: int = MOST_EPOCHS, seed: str = SEED, slices: int = SLICES) -> DataFrame:
@@ -110,7 +112,7 @@ def mix(docs: DataFrame, weights: Mapping[tuple[str, ...], float], budget: int |
     spark = docs.sparkSession
     names = [F.coalesce(domain(), F.lit("")).alias("mix_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("mix_lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source")]
     leaf = ["mix_domain", "mix_lang", "mix_source"]
-    narrow = written(docs.select(F.col("doc_id"), *names, n_tokens().alias("mix_tokens")), "mix-tokens")
+    narrow = written(docs.select("doc_id", *names, n_tokens().alias("mix_tokens")), "mix-tokens")
     totals = narrow.groupBy(*leaf).agg(F.sum("mix_tokens").alias("n")).limit(LEAVES + 1).collect()
     if len(totals) > LEAVES:
         raise ValueError(f"more than {LEAVES} leaves")
@@ -121,23 +123,26 @@ def mix(docs: DataFrame, weights: Mapping[tuple[str, ...], float], budget: int |
     plan = [(*path, n // size[path], n % size[path]) for path, n in gets.items() if n > 0]
     # As many rows as leaves: bounded, so it is broadcast.
     plan_df = F.broadcast(spark.createDataFrame(plan, "mix_domain string, mix_lang string, mix_source string, whole long, rest long"))
-    place = _order(seed, F.col("whole"))
+    place = _order(seed, F.col("whole"), F.col("doc_id"))
     width = (1 << 60) // slices
-    cut = Window.partitionBy(*leaf).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*leaf).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = narrow.join(plan_df, leaf).where("rest > 0").groupBy(*leaf, "rest", F.floor(place / width).cast("int").alias("slice")).agg(F.sum("mix_tokens").alias("n"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(cut), F.lit(0))).where("before < rest").groupBy(*leaf).agg(F.max_by(F.struct("slice", "before"), "slice").alias("cut"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before < rest").groupBy(*leaf).agg(F.max_by(F.struct("slice", "before"), "slice").alias("cut"))
     cuts = F.broadcast(written(sums.select(*leaf, F.col("cut.slice").alias("cut_slice"), F.col("cut.before").alias("cut_before")), "mix-cuts"))
 
-    rows = docs.select(*docs.columns, *names).join(plan_df, leaf).join(cuts, leaf, "left").withColumn("slice", F.floor(place / width).cast("int"))
-    rows = rows.withColumn("mix_tokens", n_tokens())
+    # The documents' own columns travel in a struct, so none of their names can clash.
+    own = [c for c in docs.columns if c not in MADE]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), *names, n_tokens().alias("mix_tokens")).join(plan_df, leaf).join(cuts, leaf, "left")
+    place = _order(seed, F.col("whole"), F.col("row.doc_id"))
+    rows = rows.withColumn("slice", F.floor(place / width).cast("int"))
     times = F.col("whole") + F.coalesce((F.col("slice") < F.col("cut_slice")).cast("int"), F.lit(0))
-    whole = rows.where(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).withColumn("mix_take", F.col("mix_tokens"))
+    keep = ["row.*", "mix_domain", "mix_epoch", "mix_tokens", "mix_take"]
+    all_of = rows.where(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).withColumn("mix_take", F.col("mix_tokens"))
     # The slice with the cut: about 1 / slices of a leaf.
-    w = Window.partitionBy(*leaf).orderBy("place", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("slice = cut_slice").withColumn("place", place).withColumn("before", F.col("cut_before") + F.coalesce(F.sum("mix_tokens").over(w), F.lit(0))).where("before < rest")
+    before = Window.partitionBy(*leaf).orderBy("place", "row.doc_id", "row.text").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where("slice = cut_slice").withColumn("place", place).withColumn("before", F.col("cut_before") + F.coalesce(F.sum("mix_tokens").over(before), F.lit(0))).where("before < rest")
     edge = edge.withColumn("mix_epoch", F.col("whole")).withColumn("mix_take", F.least("mix_tokens", F.col("rest") - F.col("before")))
-    keep = [*docs.columns, "mix_domain", "mix_epoch", "mix_tokens", "mix_take"]
-    return whole.select(keep).unionByName(edge.select(keep))
+    return all_of.select(*keep).unionByName(edge.select(*keep))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,11 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, rounds: int =
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def deduplicated(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, one for rows equal in doc_id and text, with all their columns."""
+    gone = written(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

@@ -269,7 +269,7 @@ def held_out() -> F.Column:
 
 
 class Scorer:
-    """A fitted model: score(docs, keep) adds held_out, score and predicted to the columns in keep."""
+    """A fitted model: score(docs, keep) adds the score and the prediction, by names, to the columns in keep."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES):
         spark = docs.sparkSession
@@ -289,7 +289,7 @@ class Scorer:
         rows = chosen.mapInArrow(_rows(self.model, self.known), "toxic int, at array<int>, n array<int>").groupBy("toxic", "at", "n").count().collect()
         self.weights, self.bias = _fit(rows, len(best)) if rows else (np.zeros(0), 0.0)
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+    def score(self, docs: DataFrame, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
         model, known, weights, bias = self.model, self.known, self.weights, self.bias
 
         def run(batches):
@@ -299,10 +299,10 @@ class Scorer:
                 for text in batch.column(0):
                     z = bias + sum(float(weights[f]) * float(np.log1p(n)) for f, n in feature_counts(text.as_py() or "", tokens).items())
                     scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names[1:], "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names[1:], *names])
 
-        rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
-        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+        rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in keep))
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
