@@ -5,20 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.common import table, written
+from pathloom.llm.decontamination import clean
+from pathloom.llm.mixing import WEIGHTS, mix
+from pathloom.llm.near_dup import deduplicated
 from pathloom.llm.token_files import token_digests
+from pathloom.llm.toxicity import Scorer
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of restored text does not call toxic."""
+    scored = Scorer(docs, table(spark, sf_dir, "labels")).score(docs, docs.columns, ("__score", "__toxic"))
+    return scored.where("__toxic = 0").drop("__score", "__toxic")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the recipe selects them."""
+    return mix(docs, WEIGHTS).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in Parquet, and the digests read back from them."""
     import public_tokenizers
 
     return token_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
     ("token_output", token_output),
 ]
 
-#: No stage but the last is expressible in SQL; tests/llm hold each against a brute-force version.
+#: SQL cannot express the stages; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
 
 
