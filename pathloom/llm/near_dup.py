@@ -9,12 +9,20 @@ out are skipped; for the others collisions are counted over both whole signature
 the match threshold go, and the rest are confirmed on the full sets. At the link threshold a
 pair is missed with probability 1e-6 (measured), above it far less often.
 
-No posting list is expanded into pairs. In each round a list's smallest document (its hub) is
-compared with the others of the list that are not yet in its component; links merge
-components, the hub leaves the list, and lists within one component are skipped from then on.
-A list of near copies is settled in a round or two. Lists still unsettled after ROUNDS rounds
-(documents that share much but do not link) are compared pair by pair, across components only,
-so no link between components is lost. Exact copies are one class from the start.
+No posting list is expanded into pairs. A list's smallest document (its hub) is compared with
+the others of the list; links make components. What is left are pairs across components:
+
+* Two documents x, y with the same reference h (the smallest hub each was compared with) differ
+  from h by sets E(x), E(y). If x and y link and x doesn't link with h, E(x) and E(y) must share
+  many elements; by the prefix principle they then share one among the first of both, with
+  elements outside h ordered first. Near copies edit apart, so these lists are short. Bounds:
+  with c = (100 - percent) / (100 + percent), a link of x and y means |x - y| + |y - x| <=
+  c (|x| + |y|), so |E(x) & E(y)| >= (|E(x)| + |E(y)| - c (|x| + |y|)) / 2; as x doesn't link
+  with h, |E(x)| > c (|x| + |h|), which leaves (|E(y)| + c (|h| - |y|)) / 2 for y's side.
+* Documents with different references that share a list are compared pair by pair, cut by size.
+
+Both kinds are confirmed like the first, so no link between components is lost. Exact copies
+are one class from the start.
 
 Defined cases: null and empty texts, and texts of white space, have no set and no links; with
 fewer than five words the whole sequence is the one shingle; rows with equal doc_id are one
@@ -42,7 +50,6 @@ HASHES = 256
 MATCHES = 2
 WORDS = 5
 LINK_PERCENT = 85
-ROUNDS = 2
 #: Word hashes that a worker remembers.
 CACHED = 500_000
 
@@ -110,18 +117,58 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cls", "sig"])
 
 
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows' numbers and the sets of their two texts; columns a, b, ta, tb, with runs of equal a."""
+    held: dict[int, np.ndarray] = {}
+    for i, a in enumerate(batch.column(0).to_pylist()):
+        if a not in held:
+            held = {a: shingles(batch.column(2)[i].as_py())}
+        yield i, held[a], shingles(batch.column(3)[i].as_py())
+
+
+def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(u) + len(v) - both)
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, held, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], {}
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                if x not in sets:
-                    sets = {x: shingles(batch.column(2)[i].as_py())}
-                u, v = sets[x], shingles(batch.column(3)[i].as_py())
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                if both and 100 * both >= percent * (len(u) + len(v) - both):
-                    held.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held, pa.int64())), batch.column(1).take(pa.array(held, pa.int64()))], ["a", "b"])
+            held = pa.array([i for i, u, v in _sets(batch) if _linked(u, v, percent)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(held), batch.column(1).take(held)], ["a", "b"])
+
+    return run
+
+
+DIFFERENCES = ["ref", "rep", "element", "at", "size", "n", "x", "y"]
+
+
+def _differences(percent: int):
+    """For references a and documents b, the first elements in which b differs from a: on any side (y), and on the side of one not linked with a (x)."""
+    c = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, elements, differing, sizes, on_x, on_y = [], [], [], [], [], [], []
+            for i, u, v in _sets(batch):
+                # Outside the reference first: there near copies differ from each other.
+                e = np.concatenate([np.setdiff1d(v, u, assume_unique=True), np.setdiff1d(u, v, assume_unique=True)])
+                size = len(e)
+                y = size - max(1, math.ceil((size + c * (len(u) - len(v))) / 2 - 1e-9)) + 1
+                x = 0
+                if not _linked(u, v, percent):
+                    x = size - max(1, math.ceil((size + (1 - c) - c * (len(u) + len(v))) / 2 - 1e-9)) + 1
+                n = min(size, max(x, y))
+                at += [i] * n
+                places += range(n)
+                elements.append(e[:n])
+                differing += [size] * n
+                sizes += [len(v)] * n
+                on_x += [k < x for k in range(n)]
+                on_y += [k < y for k in range(n)]
+            take = pa.array(at, pa.int64())
+            flat = np.concatenate([*elements, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(flat), pa.array(places, pa.int32()), pa.array(differing, pa.int32()), pa.array(sizes, pa.int64()), pa.array(on_x, pa.bool_()), pa.array(on_y, pa.bool_())], DIFFERENCES)
 
     return run
 
@@ -145,17 +192,22 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose signatures agree often enough and whose full sets confirm the link."""
+def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures collide on MATCHES coordinates or more."""
     one, two = (sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    likely = pairs.join(one, "a").join(two, "b").where(same >= MATCHES).select("a", "b")
-    full = likely.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    return pairs.join(one, "a").join(two, "b").where(same >= MATCHES).select("a", "b")
+
+
+def _over_texts(pairs: DataFrame, texts: DataFrame, run, schema: str, name: str) -> DataFrame:
+    """A written table of run over pairs (a, b) with their texts, rows of equal a together."""
+    one, two = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    full = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
     with batches_of(pairs.sparkSession, 256):
-        return written(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
+        return written(full.mapInArrow(run, schema), name)
 
 
-def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sig array<long>"), "sketches")
@@ -164,36 +216,43 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, rounds: int =
 
     # Postings of the signature prefix; lists of one document go at once.
     posts = reps.select("rep", "n", F.explode(F.slice("sig", 1, COORDS - MATCHES + 1)).alias("value"))
-    lists = posts.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last")).where("h.rep < last").select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.rep").alias("hub_comp"))
-    posts = written(posts.join(lists, "value").select("value", "rep", "n", F.col("rep").alias("comp"), "hub", "hub_n", "hub_comp"), "postings")
+    lists = posts.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last")).where("h.rep < last").select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
+    posts = written(posts.join(lists, "value").select("value", "rep", "n", "hub", "hub_n"), "postings")
     needed = posts.select("rep").distinct()
     sigs = reps.join(needed, "rep", "left_semi").select("rep", "sig")
     texts = written(docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
     fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
-    links = comps = None
-    for k in range(rounds + 1):
-        if k < rounds:
-            pairs = posts.where("rep <> hub and comp <> hub_comp").where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        else:
-            # Sets that can link lie in the same or in neighbouring intervals of size.
-            step = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-            left = posts.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("comp_a"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-            right = posts.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), step.alias("step"))
-            pairs = left.join(right, ["value", "step"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        new = _links(pairs, sigs, texts, percent)
-        links = new if links is None else comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(new)
-        if k == 0 or not new.isEmpty():
-            comps = components(links)
-        if k == rounds:
-            break
-        # The hub is settled in its list; lists that are left with one component are skipped from here on.
-        rest = posts.where("rep <> hub").select("value", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        rest = rest.select("value", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        lists = rest.groupBy("value").agg(F.min(F.struct("rep", "n", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        posts = written(rest.join(lists.select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp")), "value").select(*posts.columns), "postings")
-        if posts.isEmpty():
-            break
+    # Hubs against their lists.
+    pairs = posts.where("rep <> hub").where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = written(_likely(pairs, sigs), "hub-pairs")
+    links = _over_texts(tested, texts, _confirmed(percent), "a long, b long", "links")
+    comps = components(links)
+    refs = tested.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("ref"))
+    nodes = written(needed.join(refs, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("ref", "rep").alias("ref"), F.coalesce("comp", "rep").alias("comp")), "nodes")
+
+    # Across components, same reference: elements in which both differ from it.
+    mixed = nodes.where("ref <> rep").groupBy("ref").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("ref")
+    apart = nodes.where("ref <> rep").join(mixed, "ref").select(F.col("ref").alias("a"), F.col("rep").alias("b"))
+    differ = _over_texts(apart, texts, _differences(percent), "ref long, rep long, element long, at int, size int, n long, x boolean, y boolean", "differences")
+    differ = differ.join(nodes.select("rep", "comp"), "rep")
+    side = lambda flag, s: differ.where(flag).select("ref", "element", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "at", "size", "n", "comp")))
+    # From the first shared element on, enough others must be left in both.
+    least = F.ceil((F.col("size_x") + F.col("size_y") - (100 - percent) / (100 + percent) * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-9)
+    left = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+    same_ref = side("x", "x").join(side("y", "y"), ["ref", "element"]).where((F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & (left >= least))
+    # Across components, different references: lists with several of both. Sets that can link lie in the same or in neighbouring intervals of size.
+    rest = posts.where("rep <> hub").select("value", "rep", "n").join(nodes, "rep")
+    open_ = rest.groupBy("value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("ref").alias("r0"), F.max("ref").alias("r1")).where("c0 < c1 and r0 < r1").select("value")
+    step = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    rest = rest.join(open_, "value").withColumn("step", step)
+    side = lambda s: rest.select("value", "step", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "ref")))
+    near = side("x").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    other_ref = near.join(side("y"), ["value", "step"]).where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("ref_x") != F.col("ref_y")) & fits(F.col("n_x"), F.col("n_y")))
+    pairs = same_ref.select("rep_x", "rep_y").unionByName(other_ref.select("rep_x", "rep_y")).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    more = _over_texts(_likely(written(pairs, "pairs"), sigs), texts, _confirmed(percent), "a long, b long", "links")
+    if not more.isEmpty():
+        comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     classes = reps.select("cls", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
