@@ -89,7 +89,7 @@ def best_of(lo: int, hi: int, seg: int, where: str) -> str:
 
 RECORDS = """r0 AS (SELECT (l_orderkey / 8)::BIGINT AS trip_id, l_orderkey % 5 AS k, l_linenumber::BIGINT AS path_id, max(l_partkey) AS p, max((l_partkey % 17 + 1)::DOUBLE) AS w FROM lineitem WHERE l_orderkey % 8 = 0 GROUP BY ALL),
 rc AS (SELECT trip_id, k, path_id, w / sum(w) OVER (PARTITION BY trip_id, k) AS prob, list_distinct([(p % 4 + i * (1 + path_id % 2))::BIGINT FOR i IN range(0, 6)]) AS segs, [(trip_id % 4 + i)::BIGINT FOR i IN range(0, 6)] AS truth FROM r0),
-rj AS (SELECT *, len(list_intersect(segs, truth)) AS both, len(list_distinct(list_concat(segs, truth))) AS either FROM rc)"""
+rj AS (SELECT *, len(list_intersect(segs, truth)) AS hit, len(list_distinct(list_concat(segs, truth))) AS uni FROM rc)"""
 EM = f"{RECORDS}, em AS (SELECT trip_id, k, s AS seg, least(sum(prob), 1.0e0) AS prob, bool_or(list_contains(truth, s)) AS on_truth FROM (SELECT *, unnest(segs) AS s FROM rc) GROUP BY trip_id, k, s)"
 BINNED = f"{EM}, bins AS (SELECT ((round(prob, 9) >= 0.2)::INT + (round(prob, 9) >= 0.4)::INT + (round(prob, 9) >= 0.6)::INT + (round(prob, 9) >= 0.8)::INT)::BIGINT AS bin, count(*) AS n, avg(prob) AS stated, avg(on_truth::INT) AS observed FROM em GROUP BY 1)"
 
@@ -158,8 +158,8 @@ SELECT trip_id, k, stale, ls IS NOT NULL AND nc IS NOT NULL AND (lc IS NULL OR l
         "topk_viterbi": f"WITH {TRELLIS} SELECT trip_id, row_number() OVER (PARTITION BY trip_id ORDER BY score DESC) AS place, round(score / 64.0e0, 6) AS score FROM ({sequences(0, 5)}) QUALIFY place <= 6",
         "snap_baseline": f"WITH {SNAP} SELECT trip_id, k, link_id, round(perp_m, 6) AS perp_m FROM snap",
         "edge_disagreement": f"WITH {SNAP} SELECT trip_id, round(coalesce(avg(CASE WHEN link_id IS NULL OR k % 9 = 0 THEN NULL WHEN k % 4 = 0 THEN 1.0 ELSE 0.0 END), 0), 6)::DOUBLE AS rate FROM snap GROUP BY trip_id",
-        "path_scores": f"WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY trip_id, k ORDER BY both / either DESC, len(segs), path_id) AS rn, sum(-prob * ln(prob)) OVER (PARTITION BY trip_id, k) AS entropy FROM rj) SELECT trip_id, k, round((len(truth) - both) / len(truth), 6) AS miss_rate, round(both / either, 6) AS best_jaccard, path_id AS best_path, round(entropy, 6) AS entropy FROM b WHERE rn = 1",
-        "topk_rank": f"WITH {RECORDS}, w AS (SELECT *, both = either AS same, row_number() OVER (PARTITION BY trip_id, k ORDER BY prob DESC, path_id) AS n, coalesce(sum(prob) OVER (PARTITION BY trip_id, k ORDER BY prob DESC, path_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rj) SELECT trip_id, k, min(CASE WHEN same THEN n END) AS truth_rank, coalesce(bool_or(CASE WHEN same THEN before < 0.9e0 - 1e-12 END), false) AS covered FROM w GROUP BY trip_id, k",
+        "path_scores": f"WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY trip_id, k ORDER BY hit / uni DESC, len(segs), path_id) AS rn, sum(-prob * ln(prob)) OVER (PARTITION BY trip_id, k) AS entropy FROM rj) SELECT trip_id, k, round((len(truth) - hit) / len(truth), 6) AS miss_rate, round(hit / uni, 6) AS best_jaccard, path_id AS best_path, round(entropy, 6) AS entropy FROM b WHERE rn = 1",
+        "topk_rank": f"WITH {RECORDS}, w AS (SELECT *, hit = uni AS same, row_number() OVER (PARTITION BY trip_id, k ORDER BY prob DESC, path_id) AS n, coalesce(sum(prob) OVER (PARTITION BY trip_id, k ORDER BY prob DESC, path_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rj) SELECT trip_id, k, min(CASE WHEN same THEN n END) AS truth_rank, coalesce(bool_or(CASE WHEN same THEN before < 0.9e0 - 1e-12 END), false) AS covered FROM w GROUP BY trip_id, k",
         "edge_marginals": f"WITH {EM} SELECT trip_id, k, seg, round(prob, 6) AS prob, on_truth FROM em",
         "calibration_bins": f"WITH {BINNED} SELECT bin, n, round(stated, 6) AS stated, round(observed, 6) AS observed FROM bins",
         "calibration_error": f"WITH {BINNED} SELECT round(100 * sum(n * abs(stated - observed)) / sum(n), 6) AS ece FROM bins",
