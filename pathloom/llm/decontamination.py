@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ EDIT_SHARE = 0.2
 WALKS, TABLES, POSITIONS = 6, 6, 2
 ITEMS = 20_000
 #: Words of documents that are searched at once.
-HELD = 400_000
+HELD = 5_000_000
 #: Windows that are embedded at once.
 WINDOWS = 50_000
 
@@ -122,6 +123,7 @@ class Items:
         for n in sorted({len(w) for _, w in coded}):
             own = [(i, w) for i, w in coded if len(w) == n]
             self.by_length[n] = ([i for i, _ in own], np.stack([w for _, w in own]))
+        self.pairs_of = {n: np.unique(rows[:, :-1] * size + rows[:, 1:]) for n, (_, rows) in self.by_length.items()}
         self.tables = {n: [keys(rows, walk) for walk in range(WALKS)] for n, (_, rows) in self.by_length.items()}
 
     def near(self, n: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,6 +154,8 @@ class Items:
         shortest, code = min(self.by_length), self.vocabulary.get
         longest = max(self.by_length)
         need = {n: n - 1 - 2 * most_edits(n) for n in self.by_length}
+        # A window of n words is covered by ceil(n / shortest) stretches of the shortest length; one of them has its share of the pairs.
+        dense = min(-(-need[n] // -(-n // shortest)) for n in need)
         starts: dict[int, list[tuple[int, np.ndarray]]] = {n: [] for n in self.by_length}
         coded: list[np.ndarray | None] = []
         for t, text in enumerate(texts):
@@ -159,24 +163,37 @@ class Items:
             coded.append(None)
             if not ws:
                 continue
-            c = np.fromiter((code(w, 0) for w in ws), np.int64, len(ws))
+            c = np.fromiter(map(code, ws, repeat(0)), np.int64, len(ws))
             hits = np.flatnonzero((c[:-1] > 0) & (c[1:] > 0))
             if need[shortest] > 0:
                 if len(hits) < need[shortest]:
                     continue
                 both = c[hits] * self.size + c[hits + 1]
-                hits = hits[self.pairs[np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)] == both]
+                hits = hits[_among(both, self.pairs)]
             mark = np.zeros(len(c) + longest + 1, np.int64)
             mark[hits + 1] = 1
             total = np.cumsum(mark)
+            if dense > 0 and (total[shortest:] - total[:-shortest]).max() < dense:
+                continue
+            both = c[hits] * self.size + c[hits + 1]
             for n in self.by_length:
-                if len(hits) >= need[n]:
-                    last = len(c) - n + most_edits(n) + 1 if len(c) >= n - most_edits(n) else 0
+                last = len(c) - n + most_edits(n) + 1 if len(c) >= n - most_edits(n) else 0
+                if last <= 0:
+                    continue
+                if need[n] > 0:
+                    own = hits[_among(both, self.pairs_of[n])]
+                    if len(own) < need[n]:
+                        continue
+                    mark = np.zeros(len(c) + longest + 1, np.int64)
+                    mark[own + 1] = 1
+                    total = np.cumsum(mark)
                     # Word pairs that start in [s, s + n - 2].
-                    s = np.flatnonzero(total[n - 1 : n - 1 + last] - total[:last] >= need[n]) if last > 0 else ()
-                    if len(s):
-                        starts[n].append((t, s))
-                        coded[t] = c
+                    s = np.flatnonzero(total[n - 1 : n - 1 + last] - total[:last] >= need[n])
+                else:
+                    s = np.arange(last)
+                if len(s):
+                    starts[n].append((t, s))
+                    coded[t] = c
         pad = np.zeros(longest, np.int64)
         for n, found in starts.items():
             for part in _parts(found, WINDOWS):
@@ -189,6 +206,11 @@ class Items:
         return out
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array that isn't empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _parts(found: list[tuple[int, np.ndarray]], size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     held, total = [], 0
     for t, s in found:
