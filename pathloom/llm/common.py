@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: The words of a text: runs of anything but ASCII white space.
+#: Row groups of intermediate tables: writers hold one each in memory.
+ROW_GROUP_BYTES = 16 << 20
 SPACE = "\t\n\x0b\x0c\r"
 
 
@@ -33,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -51,7 +51,7 @@ MATCHES = 2
 WORDS = 5
 LINK_PERCENT = 85
 #: Word hashes that a worker remembers.
-CACHED = 500_000
+CACHED = 150_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_601))
 _A = _RANDOM.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -210,7 +210,8 @@ def _over_texts(pairs: DataFrame, texts: DataFrame, run, schema: str, name: str)
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sig array<long>"), "sketches")
+    with batches_of(docs.sparkSession, 2048):
+        sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sig array<long>"), "sketches")
     found = sketches.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x"))
     reps = written(found.select("cls", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "classes")
 

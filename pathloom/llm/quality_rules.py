@@ -130,6 +130,8 @@ def learn(labelled: DataFrame) -> list[Rule]:
     cuts: dict[str, list[float]] = {s: sorted({float(t) for r in labelled.groupBy("bad").agg(*quantiles).collect() for t in r[s] or ()}) for s in STATISTICS}
     rules: list[Rule] = []
     left = labelled
+    if not any(cuts.values()):
+        return rules
     for _ in range(RULES):
         rule: Rule = ()
         steps: list[tuple[int, int]] = []
