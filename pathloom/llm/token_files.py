@@ -68,7 +68,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         split = [cut(t) for t in texts]
         new = {c for s in split for c in set(s) if c not in cache}
         # Single pre-tokens go in one call and are told apart by their ends; chunks of any other form go one by one.
-        one = [c for c in new if _PRE_TOKEN.fullmatch(c)]
+        one = [c for c in new if _PLAIN.fullmatch(c) and _PRE_TOKEN.fullmatch(c) and c == c.lower()]
         for i in range(0, len(one), JOINED):
             part = one[i : i + JOINED]
             ids = np.array(own.encode(" ".join(part), add_special_tokens=False).ids, "<i4")
