@@ -114,7 +114,9 @@ def test_against_sql(spark, name):
     c = duckdb.connect()
     for f in os.listdir(SF):
         c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
-    plain = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
+    # Nullable integers come as floats from one side.
+    value = lambda v: v if isinstance(v, (str, bool)) else None if v is None or v != v else float(v)
+    plain = lambda df: sorted(repr([value(v) for v in row]) for row in df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist())
     assert plain(registry.queries()[name](spark, SF).toPandas()) == plain(c.execute(oracle.sql()[name]).df())
 
 
