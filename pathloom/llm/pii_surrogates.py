@@ -11,8 +11,8 @@ keep their first digit and whether their check digit is right; phone numbers the
 and separators; e-mail addresses their separators and top-level domain, and equal domains stay
 equal; IPv4 addresses stay valid. Names keep title, script and gender: given names come from a
 list of that script and gender, family names are permuted within their script, so that a family
-stays one. Names can collide, so all distinct entities of the corpus are checked: where two
-share a surrogate, all but the first take their next one, until no two share; only those few
+stays one. Names can collide, so all distinct entities of the corpus are checked: where some
+share a surrogate, all but the first take later ones, until no two share; only those few
 corrections are joined back, by document.
 
 Defined cases: null and empty texts are returned as they are, with no entities; texts without
@@ -22,7 +22,7 @@ get permuted given names; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import table, written
@@ -30,7 +30,7 @@ from pathloom.llm.common import table, written
 #: Set a secret one in production; surrogates cannot be undone without it.
 KEY = "surrogate-key-1"
 FEISTEL_ROUNDS = 4
-ATTEMPTS = 64
+ATTEMPTS = 32
 
 # Detection patterns, titles by gender, given names by script and gender.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9-])"
@@ -174,9 +174,9 @@ def _name(key: str, e: Column, attempt: Column) -> Column:
         for g, names in by_gender.items():
             n = len(names)
             k = _number(_hex(key, F.lit("given"), F.lit(g), F.lower(given)), 0) + attempt
-            # Past the list, double names follow.
+            # Past the list, double names follow; past those, the permuted given name, which is one-to-one.
             one = F.array(*map(F.lit, names))
-            name = F.concat(F.element_at(one, F.pmod(k, F.lit(n)) + 1), F.when(attempt >= n, F.concat(F.lit("-"), F.element_at(one, F.pmod(F.floor(attempt / n).cast("int") + k, F.lit(n)) + 1))).otherwise(""))
+            name = F.concat(F.element_at(one, F.pmod(k, F.lit(n)) + 1), F.when(attempt >= n, F.concat(F.lit("-"), F.element_at(one, F.pmod(F.floor(attempt / n).cast("int") + k, F.lit(n)) + 1))).otherwise(""), F.when(attempt >= n * n, F.concat(F.lit("-"), F.initcap(permuted(key, "given", F.lower(given))))).otherwise(""))
             choice = F.when((script == s) & (gender(e) == g), name).otherwise(choice)
     choice = F.coalesce(choice, F.initcap(permuted(key, "given", F.lower(given))))
     new_family = _rendered(family, F.regexp_replace(permuted(key, "family", F.regexp_replace(F.lower(family), r"[^\p{L}]", "")), r"[^\p{L}]", ""))
@@ -192,13 +192,15 @@ def corrections(found: DataFrame, key: str) -> DataFrame:
     """canonical, attempt of the entities (e) that may not take their first surrogate; few or none."""
     ents = written(found.select(canonical(F.col("e")).alias("canonical"), "e").groupBy("canonical").agg(F.min("e").alias("e")).withColumn("attempt", F.lit(0)), "entities")
     first = ents
-    for _ in range(ATTEMPTS):
+    for k in range(ATTEMPTS):
         named = ents.withColumn("s", F.lower(surrogate(key, F.col("e"), F.col("attempt"))))
-        shared = named.groupBy("s").agg(F.count("*").alias("n"), F.min_by("canonical", F.struct("attempt", "canonical")).alias("first")).where("n > 1").select("s", "first")
-        losers = written(named.join(shared, "s").where("canonical <> first").select("canonical"), "collisions")
+        # Those that share a surrogate part at once, in ever wider steps.
+        shared = named.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+        rank = F.row_number().over(Window.partitionBy("s").orderBy("attempt", "canonical")) - 1
+        losers = written(named.join(shared, "s").withColumn("rank", rank).where("rank > 0").select("canonical", "rank"), "collisions")
         if losers.isEmpty():
             break
-        ents = written(ents.join(losers.withColumn("hit", F.lit(1)), "canonical", "left").select("canonical", "e", (F.col("attempt") + F.coalesce("hit", F.lit(0))).alias("attempt")), "entities")
+        ents = written(ents.join(losers, "canonical", "left").select("canonical", "e", (F.col("attempt") + F.coalesce("rank", F.lit(0)) * (1 << min(k, 12))).alias("attempt")), "entities")
     else:
         raise ValueError("names still collide: lengthen GIVEN")
     return first.select("canonical").limit(0).withColumn("attempt", F.lit(0)) if ents is first else ents.where("attempt > 0").select("canonical", "attempt")
