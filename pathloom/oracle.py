@@ -72,6 +72,16 @@ ALPHA = (
     + ", al AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM a{k}" for k in range(6)) + "), be AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM b{k}" for k in range(6)) + "), z AS (SELECT trip_id, sum(a) AS z FROM a5 GROUP BY trip_id)"
 )
 
+# By trip and segment: chains of trips with 3 as last digit begin anew after k = 2.
+ALPHA_ALL = (
+    "a0 AS (SELECT trip_id, i, exp(e / 64.0e0) AS a FROM st WHERE k = 0), "
+    + ", ".join(f"a{k + 1} AS (SELECT s.trip_id, s.i, exp(s.e / 64.0e0) * {'CASE WHEN s.trip_id % 10 = 3 THEN 1 ELSE coalesce(sum(a.a * c.w), 0) END' if k == 2 else 'coalesce(sum(a.a * c.w), 0)'} AS a FROM st s LEFT JOIN cell c ON c.trip_id = s.trip_id AND c.k = {k} AND c.j = s.i LEFT JOIN a{k} a ON a.trip_id = s.trip_id AND a.i = c.i WHERE s.k = {k + 1} GROUP BY s.trip_id, s.i, s.e)" for k in range(5))
+    + ", b5 AS (SELECT trip_id, i, 1.0e0 AS b FROM st WHERE k = 5), "
+    + ", ".join(f"b{k} AS (SELECT s.trip_id, s.i, {'CASE WHEN s.trip_id % 10 = 3 THEN 1 ELSE coalesce(sum(c.w * exp(n.e / 64.0e0) * b.b), 0) END' if k == 2 else 'coalesce(sum(c.w * exp(n.e / 64.0e0) * b.b), 0)'} AS b FROM st s LEFT JOIN cell c ON c.trip_id = s.trip_id AND c.k = {k} AND c.i = s.i LEFT JOIN st n ON n.trip_id = s.trip_id AND n.k = {k + 1} AND n.i = c.j LEFT JOIN b{k + 1} b ON b.trip_id = s.trip_id AND b.i = c.j WHERE s.k = {k} GROUP BY s.trip_id, s.i)" for k in range(4, -1, -1))
+    + ", al AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM a{k}" for k in range(6)) + "), be AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM b{k}" for k in range(6))
+    + "), z AS (SELECT trip_id, trip_id % 10 = 3 AS late, sum(a) AS z FROM a5 GROUP BY trip_id UNION ALL SELECT trip_id, false, sum(a) FROM a2 WHERE trip_id % 10 = 3 GROUP BY trip_id)"
+)
+
 
 def sequences(lo: int, hi: int) -> str:
     """All sequences of observations lo..hi: trip_id, s{lo}.., score."""
@@ -175,4 +185,6 @@ SELECT trip_id, k, path_id, len(taken) AS place FROM g WHERE ok""",
         "sampling_stats": f"{hop}, d AS (SELECT trip_id, {hav(*x)} AS d FROM h WHERE la IS NOT NULL) SELECT trip_id, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS max FROM d GROUP BY trip_id",
         "segment_islands": f"WITH {CLEAN}, s AS (SELECT trip_id, seq AS k FROM clean WHERE seq % 7 <> 5), n AS (SELECT s.*, coalesce(k - lag(k) OVER (PARTITION BY trip_id ORDER BY k) <> 1, true) OR NOT EXISTS (SELECT 1 FROM clean c WHERE c.trip_id = s.trip_id AND c.seq = s.k - 1 AND c.seq % 11 <> 9) AS new FROM s) SELECT trip_id, k, (sum(new::INT) OVER (PARTITION BY trip_id ORDER BY k) - 1)::BIGINT AS island FROM n",
     }
+    out["forward_backward_all"] = f"WITH {TRELLIS}, {ALPHA_ALL} SELECT al.trip_id, al.k::BIGINT AS k, al.i::INT AS i, round(a * b / z, 6) AS prob, round(ln(z), 6) AS log_z FROM al JOIN be ON be.trip_id = al.trip_id AND be.k = al.k AND be.i = al.i JOIN z ON z.trip_id = al.trip_id AND z.late = (al.trip_id % 10 = 3 AND al.k > 2)"
+    out["path_marginals_all"] = f"WITH {TRELLIS}, {ALPHA_ALL} SELECT pc.trip_id, pc.k, pc.path_id + 10 * pc.i + 100 * pc.j AS path_id, round(a * exp(lp / 64.0e0) * exp(st.e / 64.0e0) * b / z, 6) AS prob FROM pc JOIN al ON al.trip_id = pc.trip_id AND al.k = pc.k AND al.i = pc.i JOIN be ON be.trip_id = pc.trip_id AND be.k = pc.k + 1 AND be.i = pc.j JOIN st ON st.trip_id = pc.trip_id AND st.k = pc.k + 1 AND st.i = pc.j JOIN z ON z.trip_id = pc.trip_id AND z.late = (pc.trip_id % 10 = 3 AND pc.k > 2)"
     return out | {f"at_time_{r}": at_time(r) for r in ("front", "back", "spread")}
