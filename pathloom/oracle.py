@@ -100,6 +100,7 @@ def best_of(lo: int, hi: int, seg: int, where: str) -> str:
 RECORDS = """r0 AS (SELECT (l_orderkey / 8)::BIGINT AS trip_id, l_orderkey % 5 AS k, l_linenumber::BIGINT AS path_id, max(l_partkey) AS p, max((l_partkey % 17 + 1)::DOUBLE) AS w FROM lineitem WHERE l_orderkey % 8 = 0 GROUP BY ALL),
 rc AS (SELECT trip_id, k, path_id, w / sum(w) OVER (PARTITION BY trip_id, k) AS prob, list_distinct([(p % 4 + i * (1 + path_id % 2))::BIGINT FOR i IN range(0, 6)]) AS segs, [(trip_id % 4 + i)::BIGINT FOR i IN range(0, 6)] AS truth FROM r0),
 rj AS (SELECT *, len(list_intersect(segs, truth)) AS hit, len(list_distinct(list_concat(segs, truth))) AS uni FROM rc)"""
+RECORDS_ALL = RECORDS.replace("(l_orderkey / 8)::BIGINT", "l_orderkey::BIGINT").replace(" WHERE l_orderkey % 8 = 0", "")
 EM = f"{RECORDS}, em AS (SELECT trip_id, k, s AS seg, least(sum(prob), 1.0e0) AS prob, bool_or(list_contains(truth, s)) AS on_truth FROM (SELECT *, unnest(segs) AS s FROM rc) GROUP BY trip_id, k, s)"
 BINNED = f"{EM}, bins AS (SELECT ((round(prob, 9) >= 0.2)::INT + (round(prob, 9) >= 0.4)::INT + (round(prob, 9) >= 0.6)::INT + (round(prob, 9) >= 0.8)::INT)::BIGINT AS bin, count(*) AS n, avg(prob) AS stated, avg(on_truth::INT) AS observed FROM em GROUP BY 1)"
 
@@ -185,6 +186,8 @@ SELECT trip_id, k, path_id, len(taken) AS place FROM g WHERE ok""",
         "sampling_stats": f"{hop}, d AS (SELECT trip_id, {hav(*x)} AS d FROM h WHERE la IS NOT NULL) SELECT trip_id, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS max FROM d GROUP BY trip_id",
         "segment_islands": f"WITH {CLEAN}, s AS (SELECT trip_id, seq AS k FROM clean WHERE seq % 7 <> 5), n AS (SELECT s.*, coalesce(k - lag(k) OVER (PARTITION BY trip_id ORDER BY k) <> 1, true) OR NOT EXISTS (SELECT 1 FROM clean c WHERE c.trip_id = s.trip_id AND c.seq = s.k - 1 AND c.seq % 11 <> 9) AS new FROM s) SELECT trip_id, k, (sum(new::INT) OVER (PARTITION BY trip_id ORDER BY k) - 1)::BIGINT AS island FROM n",
     }
+    for name in ("path_scores", "topk_rank", "edge_marginals", "calibration_bins", "calibration_error", "cluster_paths", "diversity_filter"):
+        out[f"{name}_all"] = out[name].replace(RECORDS, RECORDS_ALL)
     out["forward_backward_all"] = f"WITH {TRELLIS}, {ALPHA_ALL} SELECT al.trip_id, al.k::BIGINT AS k, al.i::INT AS i, round(a * b / z, 6) AS prob, round(ln(z), 6) AS log_z FROM al JOIN be ON be.trip_id = al.trip_id AND be.k = al.k AND be.i = al.i JOIN z ON z.trip_id = al.trip_id AND z.late = (al.trip_id % 10 = 3 AND al.k > 2)"
     out["path_marginals_all"] = f"WITH {TRELLIS}, {ALPHA_ALL} SELECT pc.trip_id, pc.k, pc.path_id + 10 * pc.i + 100 * pc.j AS path_id, round(a * exp(lp / 64.0e0) * exp(st.e / 64.0e0) * b / z, 6) AS prob FROM pc JOIN al ON al.trip_id = pc.trip_id AND al.k = pc.k AND al.i = pc.i JOIN be ON be.trip_id = pc.trip_id AND be.k = pc.k + 1 AND be.i = pc.j JOIN st ON st.trip_id = pc.trip_id AND st.k = pc.k + 1 AND st.i = pc.j JOIN z ON z.trip_id = pc.trip_id AND z.late = (pc.trip_id % 10 = 3 AND pc.k > 2)"
     return out | {f"at_time_{r}": at_time(r) for r in ("front", "back", "spread")}

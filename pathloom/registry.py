@@ -281,43 +281,44 @@ def edge_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.disagreement(rows, other).select("trip_id", r6("rate").alias("rate"))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """trip_id, k, path_id, prob, segs (edge keys), truth (edge keys): weighed candidate paths by rule."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 8 = 0")
-    rows = line.select((F.col("l_orderkey") / 8).cast("long").alias("trip_id"), (F.col("l_orderkey") % 5).alias("k"), F.col("l_linenumber").cast("long").alias("path_id"), F.col("l_partkey").alias("p"), (F.col("l_partkey") % 17 + 1).cast("double").alias("w"))
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = line if whole else line.where("l_orderkey % 8 = 0")
+    rows = line.select((F.col("l_orderkey") / (1 if whole else 8)).cast("long").alias("trip_id"), (F.col("l_orderkey") % 5).alias("k"), F.col("l_linenumber").cast("long").alias("path_id"), F.col("l_partkey").alias("p"), (F.col("l_partkey") % 17 + 1).cast("double").alias("w"))
     rows = rows.groupBy("trip_id", "k", "path_id").agg(F.max("p").alias("p"), F.max("w").alias("w"))
     segs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (F.col("p") % 4 + i * (1 + F.col("path_id") % 2)).cast("long")))
     truth = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (F.col("trip_id") % 4 + i).cast("long"))
     return rows.select("trip_id", "k", "path_id", (F.col("w") / F.sum("w").over(Window.partitionBy("trip_id", "k"))).alias("prob"), segs.alias("segs"), truth.alias("truth"))
 
 
-def path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = validation.path_scores(_records(spark, sf_dir))
+def path_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = validation.path_scores(_records(spark, sf_dir, whole))
     return rows.select("trip_id", "k", r6("miss_rate").alias("miss_rate"), r6("best_jaccard").alias("best_jaccard"), "best_path", r6("entropy").alias("entropy"))
 
 
-def topk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.truth_rank(_records(spark, sf_dir)).select("trip_id", "k", "truth_rank", "covered")
+def topk_rank(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return validation.truth_rank(_records(spark, sf_dir, whole)).select("trip_id", "k", "truth_rank", "covered")
 
 
-def edge_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.edge_marginals(_records(spark, sf_dir)).select("trip_id", "k", "seg", r6("prob").alias("prob"), "on_truth")
+def edge_marginals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return analytics.edge_marginals(_records(spark, sf_dir, whole)).select("trip_id", "k", "seg", r6("prob").alias("prob"), "on_truth")
 
 
-def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.reliability(analytics.edge_marginals(_records(spark, sf_dir))).select("bin", "n", r6("stated").alias("stated"), r6("observed").alias("observed"))
+def calibration_bins(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return analytics.reliability(analytics.edge_marginals(_records(spark, sf_dir, whole))).select("bin", "n", r6("stated").alias("stated"), r6("observed").alias("observed"))
 
 
-def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.calibration_error(analytics.edge_marginals(_records(spark, sf_dir))).select(r6("ece").alias("ece"))
+def calibration_error(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return analytics.calibration_error(analytics.edge_marginals(_records(spark, sf_dir, whole))).select(r6("ece").alias("ece"))
 
 
-def cluster_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.clusters(_records(spark, sf_dir), 0.4).select("trip_id", "k", "path_id", "cluster")
+def cluster_paths(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return analytics.clusters(_records(spark, sf_dir, whole), 0.4).select("trip_id", "k", "path_id", "cluster")
 
 
-def diversity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.diverse(_records(spark, sf_dir), 5, 0.5).select("trip_id", "k", "path_id", "place")
+def diversity_filter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return analytics.diverse(_records(spark, sf_dir, whole), 5, 0.5).select("trip_id", "k", "path_id", "place")
 
 
 def overlap_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +362,7 @@ NAMES = [
 
 
 #: Queries whose SQL twin holds a part of the input only; NAME_all runs over all of it.
-PARTS = [forward_backward, path_marginals]
+PARTS = [forward_backward, path_marginals, path_scores, topk_rank, edge_marginals, calibration_bins, calibration_error, cluster_paths, diversity_filter]
 
 
 def queries() -> dict[str, Query]:

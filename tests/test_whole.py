@@ -118,3 +118,9 @@ def test_at_time_of_all_trips_by_enumeration(spark, few):
     assert {5, 33, 1007} == {trip for trip, _, _ in got}
     for key in want.keys() | got.keys():
         assert got[key] == pytest.approx(want[key], abs=1e-2), key
+
+
+@pytest.mark.parametrize("name", ["path_scores", "topk_rank", "edge_marginals", "calibration_bins", "calibration_error", "cluster_paths", "diversity_filter"])
+def test_all_records_against_sql(spark, name):
+    assert registry._records(spark, SF, True).select("trip_id").distinct().count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert plain(registry.queries()[f"{name}_all"](spark, SF).toPandas()) == plain(by_sql(f"{name}_all"))
