@@ -6,7 +6,8 @@ good; blocks that are long but have few stop words are bad outside the article e
 rest, mostly short ones, are undecided. The second pass gives each undecided block the label of
 its nearest decided neighbours: when both agree, theirs; when they differ, the nearer one's,
 and at equal distance the label of where it stands (good in an article or main element, bad
-elsewhere); with none, that label as well. Where a page has an article or main element, what
+elsewhere); with none, that label as well. In an article or main element only links are bad, and
+undecided blocks beside them stay good, whatever their length and language. Where a page has an article or main element, what
 stands outside it is bad.
 
 White space inside a block becomes one space; line breaks count as white space. Defined cases:
@@ -187,7 +188,9 @@ def second_pass(found: list[Block], labels: list[int | None]) -> list[int]:
             out.append(labels[i])
             continue
         before, after, own = last[i], near, int(found[i].main)
-        if before is None or after is None:
+        if own:
+            out.append(GOOD)
+        elif before is None or after is None:
             one = before or after
             out.append(own if one is None else one[1])
         elif before[1] == after[1]:
