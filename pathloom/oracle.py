@@ -188,6 +188,8 @@ SELECT trip_id, k, path_id, len(taken) AS place FROM g WHERE ok""",
     }
     for name in ("path_scores", "topk_rank", "edge_marginals", "calibration_bins", "calibration_error", "cluster_paths", "diversity_filter"):
         out[f"{name}_all"] = out[name].replace(RECORDS, RECORDS_ALL)
+    out["emission_logpdf_all"] = out["emission_logpdf"].replace(" WHERE seq < 10", "")
+    out["porto_explode_all"] = out["porto_explode"].replace("seq < 12 AND ", "")
     out["forward_backward_all"] = f"WITH {TRELLIS}, {ALPHA_ALL} SELECT al.trip_id, al.k::BIGINT AS k, al.i::INT AS i, round(a * b / z, 6) AS prob, round(ln(z), 6) AS log_z FROM al JOIN be ON be.trip_id = al.trip_id AND be.k = al.k AND be.i = al.i JOIN z ON z.trip_id = al.trip_id AND z.late = (al.trip_id % 10 = 3 AND al.k > 2)"
     out["path_marginals_all"] = f"WITH {TRELLIS}, {ALPHA_ALL} SELECT pc.trip_id, pc.k, pc.path_id + 10 * pc.i + 100 * pc.j AS path_id, round(a * exp(lp / 64.0e0) * exp(st.e / 64.0e0) * b / z, 6) AS prob FROM pc JOIN al ON al.trip_id = pc.trip_id AND al.k = pc.k AND al.i = pc.i JOIN be ON be.trip_id = pc.trip_id AND be.k = pc.k + 1 AND be.i = pc.j JOIN st ON st.trip_id = pc.trip_id AND st.k = pc.k + 1 AND st.i = pc.j JOIN z ON z.trip_id = pc.trip_id AND z.late = (pc.trip_id % 10 = 3 AND pc.k > 2)"
     return out | {f"at_time_{r}": at_time(r) for r in ("front", "back", "spread")}

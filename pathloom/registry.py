@@ -45,9 +45,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and functions
 
 
-def porto_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def porto_explode(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))), lambda x: F.when(x["seq"] % 7 == 3, F.concat(F.lit("["), x["lon"].cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("["), x["lon"].cast("string"), F.lit(","), x["lat"].cast("string"), F.lit("]")))), ","), F.lit("]"))
-    rows = derived.pings(spark, sf_dir).where("seq < 12").groupBy("trip_id").agg(text.alias("POLYLINE"))
+    pings = derived.pings(spark, sf_dir)
+    rows = (pings if whole else pings.where("seq < 12")).groupBy("trip_id").agg(text.alias("POLYLINE"))
     rows = rows.select(F.col("trip_id").cast("string").alias("TRIP_ID"), (F.lit(1704067200) + F.col("trip_id")).alias("TIMESTAMP"), F.when(F.col("trip_id") % 11 == 0, "True").otherwise("False").alias("MISSING_DATA"), F.when(F.col("trip_id") % 13 == 0, "[[1,").otherwise(F.col("POLYLINE")).alias("POLYLINE"))
     return feeds.exploded(rows).select("trip_id", "seq", F.col("t").cast("long").alias("t"), r6("lat").alias("lat"), r6("lon").alias("lon"))
 
@@ -190,7 +191,7 @@ def candidate_paths_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = kept(edges_of(spark))
     obs = kept(preprocess.budgets(_flagged(spark, sf_dir)))
     states = kept(candidates.state_candidates(obs, edges))
-    rows = routing.candidate_paths(states, obs.where("k < 6").select("trip_id", "k", "budget_s"), edges, Config(max_path_candidates=12))
+    rows = routing.candidate_paths(states, obs.select("trip_id", "k", "budget_s"), edges, Config())
     return rows.select("trip_id", "k", "path_id", F.array_join("edges", ",").alias("edges"), F.array_join("mask", ",").alias("mask"), r6("ett_s").alias("ett_s"), r6("length_m").alias("length_m"), "off_road", "route")
 
 
@@ -205,8 +206,9 @@ def _trellis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return states, cells.where("NOT (trip_id % 10 = 3 AND k = 2)")
 
 
-def emission_logpdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = network.near_edges(preprocess.clean(derived.pings(spark, sf_dir)).where("seq < 10").select("trip_id", "seq", "lat", "lon"), edges_of(spark), 60.0)
+def emission_logpdf(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    pings = preprocess.clean(derived.pings(spark, sf_dir))
+    rows = network.near_edges((pings if whole else pings.where("seq < 10")).select("trip_id", "seq", "lat", "lon"), edges_of(spark), 60.0)
     return rows.select("trip_id", "seq", "link_id", r6(geo.log_student_t(F.col("perp_m"), 10.0, 4.0)).alias("log_e"), r6(geo.log_scale_gradient(F.col("perp_m"), 10.0, 4.0)).alias("slope"))
 
 
@@ -362,7 +364,7 @@ NAMES = [
 
 
 #: Queries whose SQL twin holds a part of the input only; NAME_all runs over all of it.
-PARTS = [forward_backward, path_marginals, path_scores, topk_rank, edge_marginals, calibration_bins, calibration_error, cluster_paths, diversity_filter]
+PARTS = [forward_backward, path_marginals, path_scores, topk_rank, edge_marginals, calibration_bins, calibration_error, cluster_paths, diversity_filter, emission_logpdf, porto_explode]
 
 
 def queries() -> dict[str, Query]:

@@ -124,3 +124,24 @@ def test_at_time_of_all_trips_by_enumeration(spark, few):
 def test_all_records_against_sql(spark, name):
     assert registry._records(spark, SF, True).select("trip_id").distinct().count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert plain(registry.queries()[f"{name}_all"](spark, SF).toPandas()) == plain(by_sql(f"{name}_all"))
+
+
+@pytest.mark.parametrize("name", ["emission_logpdf_all", "porto_explode_all"])
+def test_all_pings_against_sql(spark, name):
+    got = registry.queries()[name](spark, SF).toPandas()
+    assert got["seq"].max() > 12
+    assert plain(got) == plain(by_sql(name))
+
+
+def test_candidate_paths_of_all_transitions(spark, tmp_path, monkeypatch):
+    """Transitions past the sixth have paths, up to the default number of them."""
+    few = str(tmp_path)
+    spark.range(40).selectExpr("500 + id AS event_id", "timestamp_seconds(id) AS ts", "5L AS user_id", "10D AS value").write.parquet(f"{few}/events.parquet")
+    seen = []
+    own = registry.routing.candidate_paths
+    monkeypatch.setattr(registry.routing, "candidate_paths", lambda states, rows, edges, cfg: seen.append((rows, cfg)) or own(states, rows, edges, cfg))
+    got = registry.candidate_paths_full(spark, few).groupBy("trip_id", "k").count().collect()
+    (rows, cfg), = seen
+    runs = registry._flagged(spark, few).select("trip_id", "k").collect()
+    assert cfg.max_path_candidates == 100 and sorted((r.trip_id, r.k) for r in rows.collect()) == sorted((r.trip_id, r.k) for r in runs)
+    assert max(r.k for r in got) > 5 and 12 < max(r["count"] for r in got) <= 100
