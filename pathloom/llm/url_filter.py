@@ -2,16 +2,15 @@
 
 List entries are dated events (add, remove) on a pattern. The events of a pattern become
 validity intervals [date, next date), and each capture is joined as of its fetch time. Patterns
-are a host, a domain (with all hosts below it), a path prefix (host and up to SEGMENTS path
-segments) or a whole URL. Captures carry one key for each pattern that could match them, so the
+are a host, a domain (with all hosts below it), a path prefix (host and path segments) or a whole
+URL; letter case counts in paths. Captures carry one key for each pattern that could match them, so the
 join is an equality on key and month with a range test on the time: intervals are cut by month,
 which keeps a pattern that is listed again and again from meeting all its captures, and deals
 a hot host over its months.
 
 Defined cases: a null or malformed URL has no host, matches nothing and is kept; a null fetch
 time matches nothing; host names are compared in lower case without port, user and final dot;
-of a remove and an add on one date the remove holds; equal events are one; prefix entries of
-more than SEGMENTS segments never match; equal captures are judged each for itself; other
+of a remove and an add on one date the remove holds; equal events are one; equal captures are judged each for itself; other
 columns are ignored.
 """
 
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import table
 
+#: Segments that the SQL goes down to; its lists have prefixes of one.
 SEGMENTS = 4
 
 
@@ -37,11 +37,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
 
 
-def keys(url: str, host: str) -> Column:
-    """All keys of patterns that could match a URL. The key "" stands for the capture itself."""
+def keys(url: str, host: str, deepest: str) -> Column:
+    """All keys of patterns that could match a URL, with prefixes of up to `deepest` segments. The key "" stands for the capture itself."""
     labels, parts = F.split(host, r"\."), F.filter(F.split(path_of(F.col(url)), "/"), lambda x: x != "")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    n = F.least(F.size(parts), F.lit(SEGMENTS))
+    n = F.least(F.size(parts), F.col(deepest))
     prefixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("prefix:"), F.col(host), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     some = F.concat(F.array(F.lit(""), F.concat(F.lit("host:"), F.col(host)), F.concat(F.lit("url:"), F.trim(F.col(url)))), domains, prefixes)
     return F.when(F.col(host).isNull(), F.array(F.lit(""))).otherwise(some)
@@ -51,9 +51,15 @@ def month(at: Column) -> Column:
     return (F.year(at) * 12 + F.month(at)).cast("int")
 
 
+def _prefix() -> Column:
+    """A prefix pattern with its host in lower case."""
+    host = F.substring_index("pattern", "/", 1)
+    return F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """list, key, since, until (null: still active) from events (list, kind, pattern, date, action)."""
-    events = entries.select("list", F.concat_ws(":", F.lower("kind"), F.when(F.lower("kind") == "url", F.trim("pattern")).otherwise(F.lower("pattern"))).alias("key"), F.col("date").cast("timestamp").alias("date"), "action")
+    events = entries.select("list", F.concat_ws(":", F.lower("kind"), F.when(F.lower("kind") == "url", F.trim("pattern")).when(F.lower("kind") == "prefix", _prefix()).otherwise(F.lower("pattern"))).alias("key"), F.col("date").cast("timestamp").alias("date"), "action")
     events = events.where("list is not null and date is not null").groupBy("list", "key", "date").agg(F.max("action").alias("action"))  # 'remove' is the larger word
     events = events.withColumn("until", F.lead("date").over(Window.partitionBy("list", "key").orderBy("date")))
     return events.where("action = 'add'").select("list", "key", F.col("date").alias("since"), "until")
@@ -63,7 +69,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, host, fetched, n_lists, lists and blocked for each capture (page_id, url, fetched)."""
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("fetched").cast("timestamp").alias("fetched"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    rows = rows.withColumn("key", F.explode(keys("url", "host"))).withColumn("month", month(F.col("fetched")))
+    # Prefixes end with the deepest entry; one row.
+    deepest = entries.where(F.lower("kind") == "prefix").agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("deepest"))
+    rows = rows.crossJoin(F.broadcast(deepest)).withColumn("key", F.explode(keys("url", "host", "deepest"))).drop("deepest")
+    rows = rows.withColumn("month", month(F.col("fetched")))
     # Open intervals end with the last capture; one row.
     last = F.broadcast(captures.agg(F.max(F.col("fetched").cast("timestamp")).alias("last")))
     active = intervals(entries).join(last, F.col("since") <= F.col("last"))
