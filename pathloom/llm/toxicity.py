@@ -1,8 +1,8 @@
 """Toxicity of noisy text: restore disguised words, then score the restored text.
 
 1. A character trigram model with word ends is counted over every text of the corpus.
-2. Tokens that show signs of disguise (digits or symbols within letters, letters repeated,
-   single letters set apart) become a lattice: each character may stand for itself, for the
+2. Tokens that show signs of disguise (digits or symbols beside letters, separators within them,
+   letters repeated, single letters set apart) become a lattice: each character may stand for itself, for the
    letters it imitates, for one or two of a repeated run, or for nothing where it only
    separates. A Viterbi decode under the trigram model picks the restored words. Tokens
    without such signs have one path through the lattice, themselves.
@@ -15,7 +15,8 @@ Labels are read only for rows with crc32(doc_id as text) mod 5 other than 0; sco
 the text alone. Defined cases: null and empty texts get the score of a text without features;
 a doc_id with several labels has the largest; rows with equal doc_id are scored each for
 itself; without labelled rows, or with one class only, all scores are that class's rate;
-tokens over LONGEST characters are left as they are; a null doc_id is not held out.
+in what is over LONGEST characters, runs of over RUN equal ones count as RUN; a null doc_id is not
+held out.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ FEATURES = 512
 LEAST_TOXIC = 5
 STEMS = (3, 4, 5, 6)
 LONGEST = 64
+RUN = 8
 CACHED = 400_000
 HELD = 200_000
 
@@ -59,7 +61,8 @@ _CODES[[0xD7, 0xF7]] = 0
 _CODES[48:58] = _DIGIT
 _CODES[0xD800:0xE000] = _OTHER
 
-_SIGNS = re.compile(r"[^\W\d_][0-9@$!|+(€£*#]+[^\W\d_]|(?<![\w.])[0-9@$!|+(€£]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+€£]+$|([^\W\d_])\1\1|[^\W\d_](?:[.\-_*~][^\W\d_0-9@$!|]){2}")
+_SIGNS = re.compile(r"[^\W\d_][0-9@$!|+(€£*#]+[^\W\d_]|(?<![\w.])[0-9@$!|+(€£]+[^\W\d_]{2}|[^\W\d_][0-9@$!|+€£*#]++\W*+$|([^\W\d_])\1|[^\W\d_][.\-_*~]++[^\W\d_]")
+_RUNS = re.compile(rf"(.)\1{{{RUN},}}", re.S)
 _SPACED = re.compile(r"(?<![\w@$!|])(?:[^\W_]|[@$!|])(?:[ .\-_*~](?:[^\W_]|[@$!|])){2,}(?![\w@$!|])")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -123,8 +126,11 @@ def arcs(s: str) -> list[list[tuple[str, int, float]]]:
         here: list[tuple[str, int, float]] = []
         if c.isalpha():
             here.append((c, i + 1, 0.0))
-            r = len(s[i:]) - len(s[i:].lstrip(c))
-            if r >= 2 and (i == 0 or s[i - 1] != c):
+            r = 1
+            if i == 0 or s[i - 1] != c:
+                while i + r < len(s) and s[i + r] == c:
+                    r += 1
+            if r >= 2:
                 here.append((c, i + r, SHORTEN if r > 2 else 3 * SHORTEN))
                 if r > 2:
                     here.append((c + c, i + r, SHORTEN))
@@ -139,13 +145,24 @@ def arcs(s: str) -> list[list[tuple[str, int, float]]]:
     return out
 
 
+def _spelled(read: tuple) -> str:
+    out = []
+    while read:
+        read, piece = read
+        out.append(piece)
+    return "".join(reversed(out))
+
+
 def restore(s: str, model: np.ndarray) -> str:
     """The best reading of s (lower case) under the model."""
-    lattice = arcs(s)
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(s) + 1)]
-    best[0][0, 0] = (0.0, "")
-    for i, here in enumerate(lattice):
-        for (a, b), (score, read) in best[i].items():
+    if len(s) > LONGEST:
+        s = _RUNS.sub(lambda m: m[1] * RUN, s)
+    # What was read is a chain of pieces from the last to the first.
+    best: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(s) + 1)]
+    best[0][0, 0] = (0.0, ())
+    for i, here in enumerate(arcs(s)):
+        reached, best[i] = best[i], {}
+        for (a, b), (score, read) in reached.items():
             for out, to, cost in here:
                 x, y, total = a, b, score - cost
                 for c in out:
@@ -154,21 +171,21 @@ def restore(s: str, model: np.ndarray) -> str:
                         total += float(model[x, y, z])
                         x, y = y, z
                 if (x, y) not in best[to] or best[to][x, y][0] < total:
-                    best[to][x, y] = (total, read + out)
-    end = [(score + float(model[a, b, 0]) * (b != 0), read) for (a, b), (score, read) in best[-1].items()]
+                    best[to][x, y] = (total, (read, out))
+    end = [(score + float(model[a, b, 0]) * (b != 0), _spelled(read)) for (a, b), (score, read) in best[-1].items()]
     return max(end)[1] if end else s
 
 
 def restored_words(token: str, model: np.ndarray) -> list[str]:
     """The words of a token in lower case, restored where it shows signs of disguise."""
-    if len(token) <= LONGEST and _SIGNS.search(token):
+    if _SIGNS.search(token):
         token = restore(token, model)
     return _WORDS.findall(token)
 
 
 def restored_text(text: str, model: np.ndarray) -> str:
     """The whole text in lower case with disguised words restored: what is scored."""
-    text = _SPACED.sub(lambda m: restore(m[0], model) if len(m[0]) <= 2 * LONGEST else m[0], text.lower())
+    text = _SPACED.sub(lambda m: restore(m[0], model), text.lower())
     return " ".join(w for token in text.split() for w in restored_words(token, model))
 
 
@@ -200,9 +217,8 @@ def feature_counts(text: str, tokens: _Tokens) -> Counter:
     text = text.lower()
     count: Counter = Counter()
     for m in _SPACED.findall(text):
-        if len(m) <= 2 * LONGEST:
-            for word in _WORDS.findall(restore(m, tokens.model)):
-                count.update(tokens[word])
+        for word in _WORDS.findall(restore(m, tokens.model)):
+            count.update(tokens[word])
     for token, n in Counter(text.split()).items():
         for f in tokens[token]:
             count[f] += n
