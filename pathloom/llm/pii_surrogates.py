@@ -10,8 +10,8 @@ one-to-one among entities of a type and shape, so distinct entities stay distinc
 keep their first digit and whether their check digit is right; phone numbers their country code
 and separators; e-mail addresses their separators and top-level domain, and equal domains stay
 equal; IPv4 addresses stay valid. Names keep title, script and gender: given names come from a
-list of that script and gender, family names are permuted within their script, so that a family
-stays one. Names can collide, so all distinct entities of the corpus are checked: where some
+list of that script and gender, family names (the last word) and middle names are permuted within
+their script, so that a family stays one; particles stay. Names can collide, so all distinct entities of the corpus are checked: where some
 share a surrogate, all but the first take later ones, until no two share; only those few
 corrections are joined back, by document.
 
@@ -58,7 +58,11 @@ GIVEN = {
     },
 }
 NAME_WORD = r"\p{Lu}[\p{L}\p{M}’-]{0,40}+"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {NAME_WORD}(?: {NAME_WORD})?(?![\p{{L}}\p{{M}}])"
+PARTICLES = "von vom van de der den del della di da das do dos du la le zu zum zur af av ten ter te bin ibn".split()
+_TITLE = f"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})"
+# Particles and a word; a further title begins another name.
+_PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*+(?!{_TITLE}(?![\p{{L}}\p{{M}}])){NAME_WORD}(?![\p{{L}}\p{{M}}])"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_PART}(?: {_PART})*+"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, CARD, PHONE, NAME))
 
 ALPHABETS = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "я": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "ω": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -167,7 +171,8 @@ def gender(e: Column) -> Column:
 def _name(key: str, e: Column, attempt: Column) -> Column:
     title = F.substring_index(e, " ", 1)
     rest = F.split(F.substr(e, F.length(title) + 2, F.length(e)), " ")
-    given, family = F.when(F.size(rest) > 1, rest[0]), F.element_at(rest, -1)
+    named = F.filter(rest, lambda w: ~w.isin(PARTICLES))
+    given, family = F.when(F.size(named) > 1, named[0]), F.element_at(rest, -1)
     script = F.when(family.rlike(r"\p{IsCyrillic}"), "cyrillic").when(family.rlike(r"\p{IsGreek}"), "greek").when(family.rlike(r"\p{IsLatin}"), "latin")
     choice = F.lit(None).cast("string")
     for s, by_gender in GIVEN.items():
@@ -179,8 +184,11 @@ def _name(key: str, e: Column, attempt: Column) -> Column:
             name = F.concat(F.element_at(one, F.pmod(k, F.lit(n)) + 1), F.when(attempt >= n, F.concat(F.lit("-"), F.element_at(one, F.pmod(F.floor(attempt / n).cast("int") + k, F.lit(n)) + 1))).otherwise(""), F.when(attempt >= n * n, F.concat(F.lit("-"), F.initcap(permuted(key, "given", F.lower(given))))).otherwise(""))
             choice = F.when((script == s) & (gender(e) == g), name).otherwise(choice)
     choice = F.coalesce(choice, F.initcap(permuted(key, "given", F.lower(given))))
-    new_family = _rendered(family, F.regexp_replace(permuted(key, "family", F.regexp_replace(F.lower(family), r"[^\p{L}]", "")), r"[^\p{L}]", ""))
-    return F.concat_ws(" ", title, F.when(given.isNotNull(), choice), new_family)
+    moved = lambda tweak, w: _rendered(w, F.regexp_replace(permuted(key, tweak, F.regexp_replace(F.lower(w), r"[^\p{L}]", "")), r"[^\p{L}]", ""))
+    first = F.coalesce(F.array_position(rest, given), F.lit(0)).cast("int")
+    word = lambda w, i: F.when(w.isin(PARTICLES), w).when(i == first - 1, choice).otherwise(moved("middle", w))
+    before = F.transform(F.slice(rest, 1, F.size(rest) - 1), word)
+    return F.concat_ws(" ", title, before, moved("family", family))
 
 
 def surrogate(key: str, e: Column, attempt: Column) -> Column:
