@@ -15,105 +15,128 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import table, work_path
+from pathloom.llm.common import Bounded, blocks_of, table, tidied, work_path
 from pathloom.llm.token_counts import special_strings, tokenizer
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 512
-#: Distinct chunks whose ids a worker remembers.
-CACHED = 500_000
-# The tokenizer's splitting pattern over Latin-1, lower case, and the characters for which it is exact.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xff]*")
-_PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+# The characters for which the tokenizer's splitting pattern is written out (Latin-1), and the pattern, in lower case.
+_PLAIN = r"^[\t\n\x0b\x0c\r\x20-\x7e\x{a1}-\x{ff}]*$"
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_APART = rf"('(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+)"
+_ONE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[!-&(-/:-@\[-`{{-~]+")
 #: Pre-tokens that are encoded in one call.
 JOINED = 2_000
-#: Ids that a task holds before it hands them on.
-HELD = 1_000_000
+#: Bytes of text that are encoded at once.
+BLOCK = 8 << 20
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+class Encoder:
     """The ids of texts as little-endian 32-bit integers, by a tokenizer that drops white space and never merges across it.
 
-    Pre-tokens repeat; each distinct one is encoded by the library once and remembered. Texts of
-    Latin letters are cut into pre-tokens here; texts with other characters, or with special
-    strings, only at spaces, and the library does the rest.
+    Texts are cut and dictionary encoded in Arrow, so Python meets each distinct word of a block
+    once: texts of Latin letters are cut into pre-tokens, others at white space. New pre-tokens are
+    encoded by the library in joined calls, words of any other form one by one; those that a block
+    holds twice are remembered.
     """
-    own, cache = tokenizer(path), {"": b""}
-    special = special_strings(path)
-    # Every pre-token's last piece, and no other, carries the word end.
-    last = np.zeros(own.get_vocab_size(), bool)
-    last[[i for piece, i in own.get_vocab().items() if piece.endswith("</w>")]] = True
-
-    def cut(t: str) -> list[str]:
-        if _PLAIN.fullmatch(t) and not any(s in t for s in special):
-            return _PRE_TOKEN.findall(t.lower())
-        return t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHED:
-            cache.clear()
-            cache[""] = b""
-        split = [cut(t) for t in texts]
-        new = {c for s in split for c in set(s) if c not in cache}
-        # Single pre-tokens go in one call and are told apart by their ends; chunks of any other form go one by one.
-        one = [c for c in new if _PLAIN.fullmatch(c) and _PRE_TOKEN.fullmatch(c) and c == c.lower()]
+
+    def __init__(self, path: str):
+        self.own, self.cache = tokenizer(path), Bounded()
+        self.special = special_strings(path)
+        # Every pre-token's last piece, and no other, carries the word end.
+        self.last = np.zeros(self.own.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.own.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        one, rest = [], []
+        for w in words:
+            (one if _ONE.fullmatch(w) and w not in self.special else rest).append(w)
         for i in range(0, len(one), JOINED):
             part = one[i : i + JOINED]
-            ids = np.array(own.encode(" ".join(part), add_special_tokens=False).ids, "<i4")
-            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
-            cache.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        rest = list(new.difference(one))
-        for chunk, e in zip(rest, own.encode_batch(rest, add_special_tokens=False), strict=True):
-            cache[chunk] = array("i", e.ids).tobytes()
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
-
-    return encode
+            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        for w, e in zip(rest, self.own.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<i4").tobytes()
+        return out
+
+    def words(self, words: list[str], often: np.ndarray) -> list[bytes]:
+        """The ids of each word; those marked as frequent are remembered."""
+        found = list(map(self.cache.get, words))
+        at = [i for i, x in enumerate(found) if x is None]
+        new = self._new([words[i] for i in at])
+        for i, keep in zip(at, often[at].tolist(), strict=True):
+            found[i] = ids = new[words[i]]
+            if keep:
+                self.cache.keep(words[i], ids, len(ids) + 40)
+        return found
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, each text's followed by `end`, and how many each has."""
+        texts = texts.fill_null("")
+        plain = pc.match_substring_regex(texts, _PLAIN)
+        for s in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, s, ignore_case=True))
+        cut = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, texts, "")), _APART, r" \1 ")
+        split = pc.ascii_split_whitespace(pc.if_else(plain, cut, texts))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids = self.words(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)) > 1)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lens) - lens
+        table = np.frombuffer(b"".join(ids), "<i4")
+        size, offsets = lens[at], split.offsets.to_numpy() - split.offsets[0].as_py()
+        ends = np.concatenate([[0], np.cumsum(size)])
+        counts = np.diff(ends[offsets])
+        flat = table[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], size)]
+        return np.insert(flat, np.cumsum(counts), end).astype("<i4"), counts + 1
 
 
 def _encoded(path: str, end_id: int, meta: list[tuple[str, pa.DataType]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        from pyspark import TaskContext
-
-        encode, part, start, end = encoder(path), TaskContext.get().partitionId(), 0, np.array([end_id], "<i4").tobytes()
+        encoder, start = Encoder(path), 0
         for batch in batches:
-            at = 0
-            while at < len(batch):
-                texts, size = [], 0
-                while at + len(texts) < len(batch) and size < HELD:
-                    texts.append(batch.column(1)[at + len(texts)].as_py() or "")
-                    size += len(texts[-1])
-                ids = [x + end for x in encode(texts)]
-                counts = np.array([len(x) // 4 for x in ids], "i8")
+            for rows in blocks_of(batch, 2, BLOCK):
+                flat, counts = encoder.encode(rows.column(2), end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                rows = batch.slice(at, len(texts))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.full(len(texts), part, "i4")), pa.array(start + offsets[:-1]), pa.array(counts), lists, *(rows.column(2 + i).cast(t) for i, (_, t) in enumerate(meta))],
+                    [rows.column(0), rows.column(1), pa.array(start + offsets[:-1]), pa.array(counts), lists, *(rows.column(3 + i).cast(t) for i, (_, t) in enumerate(meta))],
                     ["doc_id", "part", "part_start", "n_tokens", "ids", *(n for n, _ in meta)],
                 )
                 start += int(offsets[-1])
-                at += len(texts)
 
-    return run
+    return tidied(run)
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with their part of `parts` ranges of doc_id, one partition a part; nulls come first. The bounds are read from doc_id alone."""
+    bounds = rows.agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / parts) for k in range(1, parts))), max(1_000, 100 * parts)).alias("b")).first().b if parts > 1 else None
+    cuts = F.array(*(F.lit(b) for b in sorted(set(bounds or [])))).cast("array<long>")
+    # A binary search: the number of bounds below doc_id.
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(bounds or []).bit_length())))))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(below).cast("int"))
+    return rows.repartitionById(parts, F.col("part"))
 
 
 def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = END_ID, meta: tuple[str, ...] = ("lang", "source"), row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> None:
     """Write docs' ids, in ascending doc_id order, to the folder to."""
     meta = tuple(m for m in meta if m in docs.columns)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(m).cast("string").alias(m) for m in meta))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _dealt(rows, parts).sortWithinPartitions("doc_id", "text").select("doc_id", "part", "text", *meta)
     schema = "doc_id long, part int, part_start long, n_tokens long, ids array<int>" + "".join(f", {m} string" for m in meta)
     ids = rows.mapInArrow(_encoded(path, end_id, [(m, pa.string()) for m in meta]), schema)
     out = ids.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
@@ -142,6 +165,7 @@ def part_starts(spark: SparkSession, to: str) -> DataFrame:
     return spark.createDataFrame(bases, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("base", T.LongType())]))
 
 
+@tidied
 def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)
