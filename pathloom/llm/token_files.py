@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ _PLAIN = r"^[\t\n\x0b\x0c\r\x20-\x7e\x{a1}-\x{ff}]*$"
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _APART = rf"('(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+)"
 _ONE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[!-&(-/:-@\[-`{{-~]+")
-#: Pre-tokens that are encoded in one call.
-JOINED = 2_000
+# The characters that stand for bytes outside printable Latin-1.
+_BYTES = {**{b: 290 + b - 128 for b in range(128, 161)}, 173: 323}
 #: Bytes of text that are encoded at once.
 BLOCK = 8 << 20
 
@@ -45,30 +46,26 @@ class Encoder:
     """The ids of texts as little-endian 32-bit integers, by a tokenizer that drops white space and never merges across it.
 
     Texts are cut and dictionary encoded in Arrow, so Python meets each distinct word of a block
-    once: texts of Latin letters are cut into pre-tokens, others at white space. New pre-tokens are
-    encoded by the library in joined calls, words of any other form one by one; those that a block
-    holds twice are remembered.
+    once: texts of Latin letters are cut into pre-tokens, others at white space. New pre-tokens
+    go to the library's model, words of any other form through all of the library; those that a
+    block holds twice are remembered.
     """
 
     def __init__(self, path: str):
         self.own, self.cache = tokenizer(path), Bounded()
         self.special = special_strings(path)
-        # Every pre-token's last piece, and no other, carries the word end.
-        self.last = np.zeros(self.own.get_vocab_size(), bool)
-        self.last[[i for piece, i in self.own.get_vocab().items() if piece.endswith("</w>")]] = True
 
     def _new(self, words: list[str]) -> dict[str, bytes]:
+        merged = self.own.model.tokenize
         out: dict[str, bytes] = {}
-        one, rest = [], []
+        rest = []
         for w in words:
-            (one if _ONE.fullmatch(w) and w not in self.special else rest).append(w)
-        for i in range(0, len(one), JOINED):
-            part = one[i : i + JOINED]
-            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<i4")
-            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            if _ONE.fullmatch(w) and w not in self.special:
+                out[w] = array("i", [t.id for t in merged(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                rest.append(w)
         for w, e in zip(rest, self.own.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<i4").tobytes()
+            out[w] = array("i", e.ids).tobytes()
         return out
 
     def words(self, words: list[str], often: np.ndarray) -> list[bytes]:
@@ -93,14 +90,20 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False)
         ids = self.words(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)) > 1)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(lens) - lens
+        lens = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        starts = np.cumsum(lens, dtype=np.int32) - lens
         table = np.frombuffer(b"".join(ids), "<i4")
         size, offsets = lens[at], split.offsets.to_numpy() - split.offsets[0].as_py()
-        ends = np.concatenate([[0], np.cumsum(size)])
-        counts = np.diff(ends[offsets])
-        flat = table[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], size)]
-        return np.insert(flat, np.cumsum(counts), end).astype("<i4"), counts + 1
+        ends = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(size, out=ends[1:])
+        counts = np.diff(ends[offsets]) + 1
+        take = np.repeat(starts[at] - ends[:-1], size)
+        take += np.arange(len(take), dtype=np.int32)
+        flat = np.full(counts.sum(), end, "<i4")
+        own = np.ones(len(flat), bool)
+        own[np.cumsum(counts) - 1] = False
+        flat[own] = table[take]
+        return flat, counts.astype(np.int64)
 
 
 def _encoded(path: str, end_id: int, meta: list[tuple[str, pa.DataType]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
