@@ -43,9 +43,9 @@ SHORT_WORD = 6
 
 # Detection patterns, titles by gender, given names by script and gender.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)"
-PHONE = r"(?<![\w+])\+[1-9]\d{7,14}(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])"
+IPV4 = r"(?=\d)(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)"
+PHONE = r"(?=[+(\d])(?:(?<![\w+])\+[1-9]\d{7,14}(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
+CARD = r"(?=[3-6])(?:(?<![\w.-])[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-]))"
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Señorita", "Signora", "г-жа", "госпожа", "κυρία"]
 NEUTRAL = ["Dr", "Prof", "Mx"]
@@ -68,10 +68,12 @@ GIVEN = {
 }
 NAME_WORD = r"\p{Lu}[\p{L}\p{M}’-]{0,40}+"
 PARTICLES = "von vom van de der den del della di da das do dos du la le zu zum zur af av ten ter te bin ibn".split()
-_TITLE = f"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})"
+_TITLE = f"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?:{'|'.join(MALE + FEMALE + NEUTRAL)})"
 # Particles and a word; a further title begins another name.
 _PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*+(?!{_TITLE}(?![\p{{L}}\p{{M}}]))(?:\p{{Lu}}\.(?= \p{{Lu}})|{NAME_WORD}(?![\p{{L}}\p{{M}}]))"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_PART}(?: {_PART})*+"
+#: What a text with an entity other than a name has: at least five digits near each other, three numbers between dots, or an at sign.
+NUMBERS = r"@|\d\.\d+\.\d|(?:\d[ .()-]{0,3}){5}"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, CARD, PHONE, NAME))
 
 #: Country codes: those of one and of two digits; all others have three.
@@ -300,7 +302,7 @@ def corrections(found: DataFrame, key: str) -> DataFrame:
 
 
 def _hint() -> Column:
-    return F.coalesce(F.col("text").rlike(rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "), F.lit(False))
+    return F.coalesce(F.col("text").rlike(rf"{_TITLE}\.? "), F.lit(False))
 
 
 def _replaced(rows: DataFrame, key: str) -> DataFrame:
@@ -317,8 +319,8 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities and the number of each type, for each row of docs (doc_id, text)."""
     none = F.array().cast("array<string>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Only texts with one of these characters or titles can hold an entity, and only those with a title a name; the rest skip the pattern.
-    ents = F.coalesce(F.when(F.col("text").rlike(r"[0-9@]") | _hint(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), none)
+    # Only texts with such numbers, an at sign or a title can hold an entity, and only those with a title a name; the rest skip the pattern.
+    ents = F.coalesce(F.when(F.col("text").rlike(NUMBERS) | _hint(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), none)
     fixes_type = "map<string,int>"
     titled = rows.where(_hint()).withColumn("ents", ents)
     names = F.filter("ents", lambda e: kind(e) == "name")
