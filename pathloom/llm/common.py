@@ -137,3 +137,7 @@ class Bounded(dict):
             self.clear()
             self.held = size + 2 * len(word) + 160
         self[word] = value
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0

@@ -1,28 +1,32 @@
 """Near duplicates by an inverted join on signature coordinates.
 
-A document's set is its distinct five-word shingles. Each coordinate of a signature combines
-eight of 256 MinHash minima, so two documents agree on one with probability J**8: documents
-that share one passage of several rarely meet. Documents are posted under each coordinate-value
-pair; a pair of documents that agrees on MATCHES coordinates or more shares a value in the first
-COORDS - MATCHES + 1 of them, so only that prefix is posted. Pairs whose set sizes rule a link
-out are skipped; for the others collisions are counted over both whole signatures, pairs below
-the match threshold go, and the rest are confirmed on the full sets. At the link threshold a
-pair is missed with probability 1e-6 (measured), above it far less often.
-
-No posting list is expanded into pairs. A list's smallest document (its hub) is compared with
-the others of the list; links make components. What is left are pairs across components:
-
-* Two documents x, y with the same reference h (the smallest hub each was compared with) differ
-  from h by sets E(x), E(y). If x and y link and x doesn't link with h, E(x) and E(y) must share
-  many elements; by the prefix principle they then share one among the first of both, with
-  elements outside h ordered first. Near copies edit apart, so these lists are short. Bounds:
-  with c = (100 - percent) / (100 + percent), a link of x and y means |x - y| + |y - x| <=
-  c (|x| + |y|), so |E(x) & E(y)| >= (|E(x)| + |E(y)| - c (|x| + |y|)) / 2; as x doesn't link
-  with h, |E(x)| > c (|x| + |h|), which leaves (|E(y)| + c (|h| - |y|)) / 2 for y's side.
-* Documents with different references that share a list are compared pair by pair, cut by size.
+A document's set is its distinct five-word shingles; its signature has COORDS coordinates, each
+the minimum of the set under a hash. Two documents agree on one with the probability of their
+similarity, so those at the link threshold agree on least_matches() of them but for a chance of
+MISSED. Documents are posted under each coordinate-value pair of a prefix of their signature:
+with the values in one global order, those that few documents have first, a pair that agrees on
+T coordinates shares a value among the first COORDS - T + 1 of both. How many documents have a
+value is read from a table of CELLS counts over the whole corpus (any order is exact; this one
+keeps the lists of passages that many documents share out of the prefix). Pairs whose set sizes
+rule a link out are skipped; for the others collisions are counted over both whole signatures,
+pairs below the match threshold go, and the rest are confirmed on the full sets.
+
+No posting list is expanded into pairs. A list's hub, its document with the most widespread
+signature (of a family of copies, the one nearest to what all have in common), is compared with
+the others of the list; links make components. Lists that still hold several components get a
+further hub outside the first one's component, which is compared with the documents outside its
+own, and again, as long as this makes links in numbers. What is left are pairs across components
+within a list, of documents that no hub has drawn together. Lists of FEW documents are compared
+pair by pair; in the others x and y differ from the list's first hub h by sets E(x), E(y). If x
+and y link and x doesn't link with h, E(x) and E(y) must share many elements; by the prefix
+principle they then share one among the first of both, with elements outside h ordered first.
+Near copies edit apart, so these lists are short. Bounds: with c = (100 - percent) / (100 +
+percent), a link of x and y means |x - y| + |y - x| <= c (|x| + |y|), so |E(x) & E(y)| >=
+(|E(x)| + |E(y)| - c (|x| + |y|)) / 2; as x doesn't link with h, |E(x)| > c (|x| + |h|), which
+leaves (|E(y)| + c (|h| - |y|)) / 2 for y's side.
 
 Both kinds are confirmed like the first, so no link between components is lost. Exact copies
-are one class from the start.
+are one class from the start. Intermediate tables are deleted when the result's own are written.
 
 Defined cases: null and empty texts, and texts of white space, have no set and no links; with
 fewer than five words the whole sequence is the one shingle; rows with equal doc_id are one
@@ -42,35 +46,46 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import batches_of, lower_ascii, table, words, written
+from pathloom.llm.common import Bounded, batches_of, blocks_of, drop_written, lower_ascii, table, tidied, words, written
 
 COORDS = 64
-MINIMA = 8
-HASHES = 256
-MATCHES = 2
+#: The chance with which a pair at the link threshold agrees on too few coordinates.
+MISSED = 1e-6
+#: Counts of values, 4 bytes each, that are broadcast.
+CELLS = 1 << 18
+#: Lists get further hubs as long as this share of the comparisons makes links.
+WORTH = 0.02
+#: Lists of up to so many open documents are compared pair by pair: a bounded number of pairs for each.
+FEW = 8
 WORDS = 5
 LINK_PERCENT = 85
-#: Word hashes that a worker remembers.
-CACHED = 150_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_601))
-_A = _RANDOM.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: The minima of each coordinate; every minimum serves in as many coordinates.
-_OF = np.concatenate([_RANDOM.permutation(HASHES) for _ in range(COORDS * MINIMA // HASHES)]).reshape(COORDS, MINIMA)
-_C = _RANDOM.integers(0, 1 << 63, (COORDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = _RANDOM.integers(0, 1 << 31, (COORDS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_BUFFER = np.empty((HASHES, 512), np.uint32)
+_BUFFER = np.empty((COORDS, 512), np.uint32)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+def least_matches(percent: int) -> int:
+    """The match threshold: the most coordinates on which a pair at the link threshold agrees but for a chance of MISSED."""
+    p, below, least = percent / 100, 0.0, 0
+    for k in range(COORDS):
+        below += math.comb(COORDS, k) * p**k * (1 - p) ** (COORDS - k)
+        if below > MISSED:
+            break
+        least = k + 1
+    return max(1, least)
 
 
-_hash = _WordHash()
+_hash = Bounded()
+
+
+def _word_hash(word: str) -> int:
+    h = _hash.get(word)
+    if h is None:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        _hash.keep(word, h, 36)
+    return h
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -84,7 +99,7 @@ def shingles(text: str | None) -> np.ndarray:
     ws = words(lower_ascii(text)) if text else []
     if not ws:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws))
+    w = np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
     n = min(WORDS, len(ws))
     h = np.full(len(ws) - n + 1, n, np.uint64)
     for k in range(n):
@@ -93,21 +108,52 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(u: np.ndarray) -> np.ndarray:
-    """COORDS values of a non-empty set, each from MINIMA minima."""
+    """COORDS values of a non-empty set, each a minimum."""
     x = (u >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    least = np.full(COORDS, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(x), 512):
         part = _BUFFER[:, : len(x[i : i + 512])]
         np.multiply(_A, x[None, i : i + 512], out=part)
         np.minimum(least, part.min(axis=1), out=least)
-    sums = (least[_OF].astype(np.uint64) * _C).sum(axis=1, dtype=np.uint64)
-    return _mixed(sums + np.arange(COORDS, dtype=np.uint64) * _P).view(np.int64)
+    return _mixed(least.astype(np.uint64) * _P + np.arange(COORDS, dtype=np.uint64)).view(np.int64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        counts += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (CELLS - 1), minlength=CELLS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(counts[at])], ["cell", "n"])
+
+
+def spread(reps: DataFrame) -> np.ndarray:
+    """How many signatures have a value, by the value's cell; CELLS numbers at most come to the driver."""
+    counts = np.zeros(CELLS, np.int32)
+    for r in reps.select("sig").mapInArrow(tidied(_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.cell] = min(r.n, np.iinfo(np.int32).max)
+    return counts
+
+
+def _prefixes(counts, size: int):
+    """rep, n, score and the first `size` values of each row of rep, n, sig: those that the fewest have, then the smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            sig = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS)
+            n = counts.value[sig & (CELLS - 1)]
+            first = np.take_along_axis(sig, np.lexsort((sig, n), axis=1)[:, :size], axis=1)
+            score = (1000 * np.log2(n + 1)).astype(np.int64).sum(axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype="i4") * size), pa.array(first.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), lists], ["rep", "n", "score", "value"])
+
+    return tidied(run)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 1024):
-            part = batch.slice(at, 1024)
+        for part in blocks_of(batch, 1):
             sizes, classes, sigs = [], [], []
             for text in part.column(1):
                 u = shingles(text.as_py())
@@ -185,18 +231,19 @@ def components(links: DataFrame) -> DataFrame:
         # Small stars: each node hangs its smaller neighbours and itself on the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.where("u <> v").distinct(), "edges")
+        drop_written(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         before = now
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures collide on MATCHES coordinates or more."""
+def _likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) whose signatures collide on `least` coordinates or more."""
     one, two = (sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(one, "a").join(two, "b").where(same >= MATCHES).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(same >= least).select("a", "b")
 
 
 def _over_texts(pairs: DataFrame, texts: DataFrame, run, schema: str, name: str) -> DataFrame:
@@ -204,61 +251,99 @@ def _over_texts(pairs: DataFrame, texts: DataFrame, run, schema: str, name: str)
     one, two = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     full = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
     with batches_of(pairs.sparkSession, 256):
-        return written(full.mapInArrow(run, schema), name)
+        return written(full.mapInArrow(tidied(run, _hash.clear), schema), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
+    spark, least = docs.sparkSession, least_matches(percent)
+    held: list[DataFrame] = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        held.append(written(df, name))
+        return held[-1]
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with batches_of(docs.sparkSession, 2048):
-        sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, cls binary, sig array<long>"), "sketches")
+    with batches_of(spark, 2048):
+        sketches = written(docs.mapInArrow(tidied(_sketch, _hash.clear), "doc_id long, n_shingles long, cls binary, sig array<long>"), "sketches")
     found = sketches.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x"))
     reps = written(found.select("cls", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "classes")
+    fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
     # Postings of the signature prefix; lists of one document go at once.
-    posts = reps.select("rep", "n", F.explode(F.slice("sig", 1, COORDS - MATCHES + 1)).alias("value"))
-    lists = posts.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last")).where("h.rep < last").select("value", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
-    posts = written(posts.join(lists, "value").select("value", "rep", "n", "hub", "hub_n"), "postings")
+    prefixes = reps.select("rep", "n", "sig").mapInArrow(_prefixes(spark.sparkContext.broadcast(spread(reps)), COORDS - least + 1), "rep long, n long, score long, value array<long>")
+    posts = prefixes.select("rep", "n", "score", F.explode("value").alias("value"))
+    lists = posts.groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"), "n")).alias("h"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("value", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hub_n"))
+    posts = step(posts.join(lists, "value").select("value", "rep", "n", "score", "hub", "hub_n"), "postings")
     needed = posts.select("rep").distinct()
     sigs = reps.join(needed, "rep", "left_semi").select("rep", "sig")
-    texts = written(docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
-    fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)
+    texts = step(docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _over_texts(pairs, texts, _confirmed(percent), "a long, b long", "links")
 
     # Hubs against their lists.
     pairs = posts.where("rep <> hub").where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = written(_likely(pairs, sigs), "hub-pairs")
-    links = _over_texts(tested, texts, _confirmed(percent), "a long, b long", "links")
+    tested = step(_likely(pairs, sigs, least), "hub-pairs")
+    links = linked(tested)
+    held.append(links)
     comps = components(links)
-    refs = tested.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("ref"))
-    nodes = written(needed.join(refs, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("ref", "rep").alias("ref"), F.coalesce("comp", "rep").alias("comp")), "nodes")
+    held.append(comps)
+    comp_of = lambda: needed.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
 
-    # Across components, same reference: elements in which both differ from it.
-    mixed = nodes.where("ref <> rep").groupBy("ref").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("ref")
-    apart = nodes.where("ref <> rep").join(mixed, "ref").select(F.col("ref").alias("a"), F.col("rep").alias("b"))
+    # Further hubs: of each list that holds several components, one outside the component of its first.
+    rest = posts.where("rep <> hub").select("value", "rep", "n", "score", "hub")
+    while True:
+        own = comp_of()
+        open_ = rest.join(own, "rep").join(own.select(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
+        lists = open_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("comp") != F.col("hub_comp"), F.struct("score", (-F.col("rep")).alias("rep"), "n", "comp"))).alias("h"), F.count("*").alias("k")).where("lo < hi")
+        lists = lists.select("value", (-F.col("h.rep")).alias("new"), F.col("h.n").alias("new_n"), F.col("h.comp").alias("new_comp"), "k")
+        # Lists of one component are done.
+        rest = step(open_.join(lists, "value").select("value", "rep", "n", "score", "hub", "comp", "new", "new_n", "new_comp", "k"), "open")
+        pairs = rest.where(f"k > {FEW} and comp <> new_comp").where(fits(F.col("n"), F.col("new_n"))).select(F.col("new").alias("a"), F.col("rep").alias("b")).distinct()
+        tests = step(_likely(pairs, sigs, least), "hub-pairs")
+        n_tests = tests.count()
+        if not n_tests:
+            break
+        links = linked(tests)
+        held.append(links)
+        comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(links))
+        held.append(comps)
+        # The further hub has met all others of its list outside its component.
+        rest = rest.where(f"k <= {FEW} or rep <> new").select("value", "rep", "n", "score", "hub")
+        if links.count() < WORTH * n_tests:
+            break
+
+    # Across components.
+    open_ = rest.select("value", "rep", "n", "hub").join(step(comp_of(), "nodes"), "rep")
+    lists = open_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("value", "k")
+    open_ = step(open_.join(lists, "value"), "open")
+    side = lambda s: open_.where(f"k <= {FEW}").select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp")))
+    few = side("x").join(side("y"), "value").where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")))
+    apart = open_.where(f"k > {FEW}").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     differ = _over_texts(apart, texts, _differences(percent), "ref long, rep long, element long, at int, size int, n long, x boolean, y boolean", "differences")
-    differ = differ.join(nodes.select("rep", "comp"), "rep")
+    held.append(differ)
+    differ = differ.join(open_.select("rep", "comp").distinct(), "rep")
     side = lambda flag, s: differ.where(flag).select("ref", "element", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "at", "size", "n", "comp")))
     # From the first shared element on, enough others must be left in both.
-    least = F.ceil((F.col("size_x") + F.col("size_y") - (100 - percent) / (100 + percent) * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-9)
+    enough = F.ceil((F.col("size_x") + F.col("size_y") - (100 - percent) / (100 + percent) * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-9)
     left = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
-    same_ref = side("x", "x").join(side("y", "y"), ["ref", "element"]).where((F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & (left >= least))
-    # Across components, different references: lists with several of both. Sets that can link lie in the same or in neighbouring intervals of size.
-    rest = posts.where("rep <> hub").select("value", "rep", "n").join(nodes, "rep")
-    open_ = rest.groupBy("value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("ref").alias("r0"), F.max("ref").alias("r1")).where("c0 < c1 and r0 < r1").select("value")
-    step = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    rest = rest.join(open_, "value").withColumn("step", step)
-    side = lambda s: rest.select("value", "step", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "ref")))
-    near = side("x").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    other_ref = near.join(side("y"), ["value", "step"]).where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("ref_x") != F.col("ref_y")) & fits(F.col("n_x"), F.col("n_y")))
-    pairs = same_ref.select("rep_x", "rep_y").unionByName(other_ref.select("rep_x", "rep_y")).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    more = _over_texts(_likely(written(pairs, "pairs"), sigs), texts, _confirmed(percent), "a long, b long", "links")
+    many = side("x", "x").join(side("y", "y"), ["ref", "element"]).where((F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & (left >= enough))
+    pairs = few.select("rep_x", "rep_y").unionByName(many.select("rep_x", "rep_y")).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    more = linked(step(_likely(step(pairs, "pairs"), sigs, least), "likely-pairs"))
+    held.append(more)
     if not more.isEmpty():
         comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
+        held.append(comps)
 
-    classes = reps.select("cls", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
-    own = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    classes = written(reps.select("cls", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component")), "components")
+    for table_ in held:
+        drop_written(table_)
+    # Rows without a set go apart: they would all be one key.
+    rows = sketches.select("doc_id", "n_shingles", "cls")
+    out = rows.where("cls is not null").join(classes, "cls", "left").select("doc_id", "n_shingles", "component").unionByName(rows.where("cls is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
+    own_id = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +353,6 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, one for rows equal in doc_id and text, with all their columns."""
     gone = written(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
