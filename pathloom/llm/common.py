@@ -48,6 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or what becomes of it by adding underscores until df has no such column in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
     spark = df.sparkSession

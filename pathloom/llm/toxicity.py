@@ -15,7 +15,7 @@ Labels are read only for rows with crc32(doc_id as text) mod 5 other than 0; sco
 the text alone. Defined cases: null and empty texts get the score of a text without features;
 a doc_id with several labels has the largest; rows with equal doc_id are scored each for
 itself; without labelled rows, or with one class only, all scores are that class's rate;
-in what is over LONGEST characters, runs of over RUN equal ones count as RUN; a null doc_id is not
+in what is restored, runs of over RUN equal characters count as RUN; a null doc_id is not
 held out.
 """
 
@@ -31,15 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import table, written
+from pathloom.llm.common import Bounded, blocks_of, fresh, table, tidied, written
 
 SAMPLE = 40_000
 FEATURES = 512
 LEAST_TOXIC = 5
 STEMS = (3, 4, 5, 6)
-LONGEST = 64
 RUN = 8
-CACHED = 400_000
 HELD = 200_000
 
 # Letters that a character can imitate.
@@ -111,7 +109,7 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 def corpus_model(docs: DataFrame) -> np.ndarray:
     """The model over all texts; N**3 counts at most come to the driver."""
     counts = np.zeros(N**3, np.int64)
-    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_trigrams, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(_trigrams), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.at] = r.n
     return log_model(counts)
 
@@ -155,8 +153,7 @@ def _spelled(read: tuple) -> str:
 
 def restore(s: str, model: np.ndarray) -> str:
     """The best reading of s (lower case) under the model."""
-    if len(s) > LONGEST:
-        s = _RUNS.sub(lambda m: m[1] * RUN, s)
+    s = _RUNS.sub(lambda m: m[1] * RUN, s)
     # What was read is a chain of pieces from the last to the first.
     best: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(s) + 1)]
     best[0][0, 0] = (0.0, ())
@@ -198,7 +195,7 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-class _Tokens(dict):
+class _Tokens(Bounded):
     """Features of a token, remembered; only those in known, if given."""
 
     def __init__(self, model: np.ndarray, known: dict[str, int] | None = None):
@@ -206,10 +203,9 @@ class _Tokens(dict):
         self.model, self.known = model, known
 
     def __missing__(self, token: str) -> tuple:
-        if len(self) > CACHED:
-            self.clear()
         found = features(restored_words(token, self.model))
-        self[token] = out = tuple(found) if self.known is None else tuple(sorted(self.known[f] for f in found if f in self.known))
+        out = tuple(found) if self.known is None else tuple(sorted(self.known[f] for f in found if f in self.known))
+        self.keep(token, out, 48 + 8 * len(out) + (sum(map(len, out)) + 60 * len(out) if self.known is None else 0))
         return out
 
 
@@ -246,7 +242,7 @@ def _frequencies(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     yield out()
         yield out()
 
-    return run
+    return tidied(run)
 
 
 def _rows(model, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -256,7 +252,7 @@ def _rows(model, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             counts = [sorted(feature_counts(t.as_py() or "", tokens).items()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([[f for f, _ in c] for c in counts], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))], ["toxic", "at", "n"])
 
-    return run
+    return tidied(run)
 
 
 def _fit(rows: list, n_features: int, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -306,19 +302,27 @@ class Scorer:
         self.weights, self.bias = _fit(rows, len(best)) if rows else (np.zeros(0), 0.0)
 
     def score(self, docs: DataFrame, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+        """The columns in keep, the score and the prediction of each row of docs."""
         model, known, weights, bias = self.model, self.known, self.weights, self.bias
+        # The text travels once, with what is kept or before it.
+        plain = "text" in keep and isinstance(docs.schema["text"].dataType, T.StringType)
+        at = keep.index("text") if plain else 0
 
         def run(batches):
             tokens = _Tokens(model.value, known.value)
-            for batch in batches:
-                scores = []
-                for text in batch.column(0):
-                    z = bias + sum(float(weights[f]) * float(np.log1p(n)) for f, n in feature_counts(text.as_py() or "", tokens).items())
-                    scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names[1:], *names])
-
-        rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in keep))
-        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
+            for whole in batches:
+                for batch in blocks_of(whole, at):
+                    scores = []
+                    for text in batch.column(at):
+                        z = bias + sum(float(weights[f]) * float(np.log1p(n)) for f, n in feature_counts(text.as_py() or "", tokens).items())
+                        scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+                    kept = batch.columns if plain else batch.columns[1:]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*out.names])
+
+        own = [F.col(f"`{c}`") for c in keep]
+        rows = docs.select(*own) if plain else docs.select(F.col("text").cast("string").alias(fresh(docs, "scored")), *own)
+        out = T.StructType([*rows.schema.fields[0 if plain else 1 :], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+        return rows.mapInArrow(tidied(run), out)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
