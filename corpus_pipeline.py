@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathloom.llm.common import table, written
+from pathloom.llm.common import fresh, table, written
 from pathloom.llm.decontamination import clean
 from pathloom.llm.mixing import WEIGHTS, mix
 from pathloom.llm.near_dup import deduplicated
@@ -14,8 +15,9 @@ from pathloom.llm.toxicity import Scorer
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of restored text does not call toxic."""
-    scored = Scorer(docs, table(spark, sf_dir, "labels")).score(docs, docs.columns, ("__score", "__toxic"))
-    return scored.where("__toxic = 0").drop("__score", "__toxic")
+    score, toxic = fresh(docs, "score"), fresh(docs, "toxic")
+    scored = Scorer(docs, table(spark, sf_dir, "labels")).score(docs, docs.columns, (score, toxic))
+    return scored.where(F.col(toxic) == 0).drop(score, toxic)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the recipe selects them."""
-    return mix(docs, WEIGHTS).select(*docs.columns)
+    return mix(docs, WEIGHTS).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
