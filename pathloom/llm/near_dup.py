@@ -15,18 +15,14 @@ No posting list is expanded into pairs. A list's hub, its document with the most
 signature (of a family of copies, the one nearest to what all have in common), is compared with
 the others of the list; links make components. Lists that still hold several components get a
 further hub outside the first one's component, which is compared with the documents outside its
-own, and again, as long as this makes links in numbers. What is left are pairs across components
-within a list, of documents that no hub has drawn together. Lists of FEW documents are compared
-pair by pair; in the others x and y differ from the list's first hub h by sets E(x), E(y). If x
-and y link and x doesn't link with h, E(x) and E(y) must share many elements; by the prefix
-principle they then share one among the first of both, with elements outside h ordered first.
-Near copies edit apart, so these lists are short. Bounds: with c = (100 - percent) / (100 +
-percent), a link of x and y means |x - y| + |y - x| <= c (|x| + |y|), so |E(x) & E(y)| >=
-(|E(x)| + |E(y)| - c (|x| + |y|)) / 2; as x doesn't link with h, |E(x)| > c (|x| + |h|), which
-leaves (|E(y)| + c (|h| - |y|)) / 2 for y's side.
-
-Both kinds are confirmed like the first, so no link between components is lost. Exact copies
-are one class from the start. Intermediate tables are deleted when the result's own are written.
+own, and again, as long as this makes links in numbers. What is left are pairs within a list of
+documents that no hub has drawn together: at least one of the two is outside the component of the
+list's first hub. These meet by the prefix principle on their sets: with the shingles that the
+fewest open documents hold first, a pair that links shares one among the first n - ceil(percent n
+/ 100) + 1 of both, at places after which enough are left. Copies edit apart, so these lists are
+short. Candidates are counted over the signatures and confirmed like the others.
+
+No link between components is lost. Exact copies are one class from the start. Intermediate tables are deleted when the result's own are written.
 
 Defined cases: null and empty texts, and texts of white space, have no set and no links; with
 fewer than five words the whole sequence is the one shingle; rows with equal doc_id are one
@@ -52,11 +48,9 @@ COORDS = 64
 #: The chance with which a pair at the link threshold agrees on too few coordinates.
 MISSED = 1e-6
 #: Counts of values, 4 bytes each, that are broadcast.
-CELLS = 1 << 18
+CELLS = 1 << 19
 #: Lists get further hubs as long as this share of the comparisons makes links.
 WORTH = 0.02
-#: Lists of up to so many open documents are compared pair by pair: a bounded number of pairs for each.
-FEW = 8
 WORDS = 5
 LINK_PERCENT = 85
 
@@ -77,15 +71,14 @@ def least_matches(percent: int) -> int:
     return max(1, least)
 
 
-_hash = Bounded()
+class _WordHash(Bounded):
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self.keep(word, h, 36)
+        return h
 
 
-def _word_hash(word: str) -> int:
-    h = _hash.get(word)
-    if h is None:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        _hash.keep(word, h, 36)
-    return h
+_hash = _WordHash()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -99,7 +92,7 @@ def shingles(text: str | None) -> np.ndarray:
     ws = words(lower_ascii(text)) if text else []
     if not ws:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
+    w = np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws))
     n = min(WORDS, len(ws))
     h = np.full(len(ws) - n + 1, n, np.uint64)
     for k in range(n):
@@ -118,22 +111,57 @@ def signature(u: np.ndarray) -> np.ndarray:
     return _mixed(least.astype(np.uint64) * _P + np.arange(COORDS, dtype=np.uint64)).view(np.int64)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        counts += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (CELLS - 1), minlength=CELLS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(counts[at])], ["cell", "n"])
+def _cells(values):
+    """Counts by cell over values(batch), 64-bit numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in blocks_of(batch, 0) if pa.types.is_string(batch.schema.types[0]) else (batch,):
+                counts += np.bincount(values(part).astype(np.int64) & (CELLS - 1), minlength=CELLS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(counts[at])], ["cell", "n"])
+
+    return tidied(run, _hash.clear)
 
-def spread(reps: DataFrame) -> np.ndarray:
-    """How many signatures have a value, by the value's cell; CELLS numbers at most come to the driver."""
+
+def spread(df: DataFrame, values) -> np.ndarray:
+    """How many rows of df (one column) have a value, by the value's cell; CELLS numbers at most come to the driver."""
     counts = np.zeros(CELLS, np.int32)
-    for r in reps.select("sig").mapInArrow(tidied(_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.cell] = min(r.n, np.iinfo(np.int32).max)
+    found = df.mapInArrow(_cells(values), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), np.iinfo(np.int32).max)
     return counts
 
 
+def _of_signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False)
+
+
+def _of_texts(batch: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([*(shingles(t.as_py()) for t in batch.column(0)), np.empty(0, np.uint64)])
+
+
+def _rarest(counts, percent: int):
+    """rep, comp, x, n, element and at: the elements of each text (rep, comp, x, text) by which a link shows, those that the fewest hold first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks_of(batch, 3):
+                elements, sizes, held = [], [], []
+                for text in part.column(3):
+                    u = shingles(text.as_py())
+                    first = u[np.lexsort((u, counts.value[(u & np.uint64(CELLS - 1)).astype(np.int64)]))][: len(u) - -(-len(u) * percent // 100) + 1]
+                    elements.append(first)
+                    sizes.append(len(u))
+                    held.append(len(first))
+                take = pa.array(np.repeat(np.arange(len(held)), held))
+                places = np.concatenate([*(np.arange(k, dtype=np.int32) for k in held), np.empty(0, np.int32)])
+                flat = np.concatenate([*elements, np.empty(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(sizes, pa.int64()).take(take), pa.array(flat), pa.array(places)], ["rep", "comp", "x", "n", "element", "at"])
+
+    return tidied(run, _hash.clear)
+
+
 def _prefixes(counts, size: int):
     """rep, n, score and the first `size` values of each row of rep, n, sig: those that the fewest have, then the smallest."""
 
@@ -271,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
     # Postings of the signature prefix; lists of one document go at once.
-    prefixes = reps.select("rep", "n", "sig").mapInArrow(_prefixes(spark.sparkContext.broadcast(spread(reps)), COORDS - least + 1), "rep long, n long, score long, value array<long>")
+    prefixes = reps.select("rep", "n", "sig").mapInArrow(_prefixes(spark.sparkContext.broadcast(spread(reps.select("sig"), _of_signatures)), COORDS - least + 1), "rep long, n long, score long, value array<long>")
     posts = prefixes.select("rep", "n", "score", F.explode("value").alias("value"))
     lists = posts.groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"), "n")).alias("h"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("value", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hub_n"))
     posts = step(posts.join(lists, "value").select("value", "rep", "n", "score", "hub", "hub_n"), "postings")
@@ -292,15 +320,16 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     comp_of = lambda: needed.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
 
     # Further hubs: of each list that holds several components, one outside the component of its first.
-    rest = posts.where("rep <> hub").select("value", "rep", "n", "score", "hub")
+    rest = posts.select("value", "rep", "n", "score", (F.col("rep") == F.col("hub")).alias("first"), (F.col("rep") == F.col("hub")).alias("done"))
     while True:
-        own = comp_of()
-        open_ = rest.join(own, "rep").join(own.select(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
-        lists = open_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("comp") != F.col("hub_comp"), F.struct("score", (-F.col("rep")).alias("rep"), "n", "comp"))).alias("h"), F.count("*").alias("k")).where("lo < hi")
-        lists = lists.select("value", (-F.col("h.rep")).alias("new"), F.col("h.n").alias("new_n"), F.col("h.comp").alias("new_comp"), "k")
+        rows = rest.join(comp_of(), "rep")
+        best = F.max(F.when(~F.col("done"), F.struct("score", (-F.col("rep")).alias("rep"), "n")))
+        lists = rows.groupBy("value", "comp").agg(best.alias("h"), F.max("first").alias("of_hub")).groupBy("value")
+        lists = lists.agg(F.max(F.when(~F.col("of_hub"), F.struct("h.score", "h.rep", "h.n", "comp"))).alias("h"), F.max(F.when(F.col("of_hub"), F.col("comp"))).alias("hub_comp")).where("h.rep is not null")
+        lists = lists.select("value", "hub_comp", (-F.col("h.rep")).alias("new"), F.col("h.n").alias("new_n"), F.col("h.comp").alias("new_comp"))
         # Lists of one component are done.
-        rest = step(open_.join(lists, "value").select("value", "rep", "n", "score", "hub", "comp", "new", "new_n", "new_comp", "k"), "open")
-        pairs = rest.where(f"k > {FEW} and comp <> new_comp").where(fits(F.col("n"), F.col("new_n"))).select(F.col("new").alias("a"), F.col("rep").alias("b")).distinct()
+        rest = step(rows.join(lists, "value").withColumn("done", F.col("done") | (F.col("rep") == F.col("new"))), "open")
+        pairs = rest.where("not done and comp <> new_comp").where(fits(F.col("n"), F.col("new_n"))).select(F.col("new").alias("a"), F.col("rep").alias("b")).distinct()
         tests = step(_likely(pairs, sigs, least), "hub-pairs")
         n_tests = tests.count()
         if not n_tests:
@@ -309,28 +338,26 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
         held.append(links)
         comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(links))
         held.append(comps)
-        # The further hub has met all others of its list outside its component.
-        rest = rest.where(f"k <= {FEW} or rep <> new").select("value", "rep", "n", "score", "hub")
         if links.count() < WORTH * n_tests:
             break
+        rest = rest.select("value", "rep", "n", "score", "first", "done")
 
-    # Across components.
-    open_ = rest.select("value", "rep", "n", "hub").join(step(comp_of(), "nodes"), "rep")
-    lists = open_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("value", "k")
-    open_ = step(open_.join(lists, "value"), "open")
-    side = lambda s: open_.where(f"k <= {FEW}").select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp")))
-    few = side("x").join(side("y"), "value").where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")))
-    apart = open_.where(f"k > {FEW}").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    differ = _over_texts(apart, texts, _differences(percent), "ref long, rep long, element long, at int, size int, n long, x boolean, y boolean", "differences")
-    held.append(differ)
-    differ = differ.join(open_.select("rep", "comp").distinct(), "rep")
-    side = lambda flag, s: differ.where(flag).select("ref", "element", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "at", "size", "n", "comp")))
+    # What is open: documents outside the component of a list's hub, and those that share the list with one.
+    rows = rest.select("value", "rep", "first", "done").join(comp_of(), "rep")
+    lists = rows.groupBy("value").agg(F.max(F.when(F.col("first"), F.col("comp"))).alias("hub_comp"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("value", "hub_comp")
+    open_ = step(rows.where("not done").join(lists, "value").groupBy("rep").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("hub_comp")).alias("x")), "open-documents")
+    full = step(open_.join(texts, "rep").select("rep", "comp", "x", "text"), "open-texts")
+    with batches_of(spark, 2048):
+        counts = spark.sparkContext.broadcast(spread(full.select("text"), _of_texts))
+        elements = step(full.mapInArrow(_rarest(counts, percent), "rep long, comp long, x boolean, n long, element long, at int"), "elements")
+    side = lambda s: elements.select("element", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "at", "x")))
     # From the first shared element on, enough others must be left in both.
-    enough = F.ceil((F.col("size_x") + F.col("size_y") - (100 - percent) / (100 + percent) * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-9)
-    left = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
-    many = side("x", "x").join(side("y", "y"), ["ref", "element"]).where((F.col("comp_x") != F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & (left >= enough))
-    pairs = few.select("rep_x", "rep_y").unionByName(many.select("rep_x", "rep_y")).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    more = linked(step(_likely(step(pairs, "pairs"), sigs, least), "likely-pairs"))
+    enough = F.ceil(percent * (F.col("n_1") + F.col("n_2")) / (100 + percent) - 1e-9)
+    left = F.least(F.col("n_1") - F.col("at_1"), F.col("n_2") - F.col("at_2"))
+    once = ~F.col("x_2") | (F.col("rep_1") < F.col("rep_2"))
+    pairs = side("1").where("x_1").join(side("2"), "element").where((F.col("comp_1") != F.col("comp_2")) & once & (left >= enough))
+    pairs = step(pairs.select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct(), "pairs")
+    more = linked(step(_likely(pairs, sigs, least), "likely-pairs"))
     held.append(more)
     if not more.isEmpty():
         comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
