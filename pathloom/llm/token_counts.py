@@ -14,12 +14,12 @@ library does it by default; other columns of the input are ignored.
 from __future__ import annotations
 
 import os
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +116,7 @@ def _shares(path: str, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 raw = text.encode()
-                key = zlib.crc32(raw) - (1 << 31)
+                key = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
                 freq, total = counted(text, split, special)
                 for pre, n in freq.items():
                     if pieces := known.get(pre):
@@ -133,9 +133,9 @@ def _shares(path: str, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 pres.append(None)
                 nums.append(total)
                 if len(ids) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(sizes, pa.int64()), pa.array(pres, pa.string()), pa.array(nums, pa.int64())], ["doc_id", "key", "n_bytes", "pre", "num"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pres, pa.string()), pa.array(nums, pa.int64())], ["doc_id", "key", "n_bytes", "pre", "num"])
                     ids, keys, sizes, pres, nums = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(sizes, pa.int64()), pa.array(pres, pa.string()), pa.array(nums, pa.int64())], ["doc_id", "key", "n_bytes", "pre", "num"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pres, pa.string()), pa.array(nums, pa.int64())], ["doc_id", "key", "n_bytes", "pre", "num"])
 
     return run
 
@@ -148,7 +148,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, head: int
     vocab = written(distinct.mapInArrow(_pieces(path), "pre string, n long, pieces int"), "pieces")
     top = vocab.where(F.octet_length("pre") <= HEAD_BYTES).orderBy(F.desc("n"), "pre").limit(head)
     known = spark.sparkContext.broadcast({r.pre: r.pieces for r in top.select("pre", "pieces").toLocalIterator()})
-    shares = written(docs.mapInArrow(_shares(path, known), "doc_id long, key int, n_bytes long, pre string, num long"), "shares")
+    shares = written(docs.mapInArrow(_shares(path, known), "doc_id long, key long, n_bytes long, pre string, num long"), "shares")
     rare = shares.where("pre is not null").join(vocab.select("pre", "pieces"), "pre").select("doc_id", "key", F.lit(None).cast("long").alias("n_bytes"), (F.col("num") * F.col("pieces")).alias("num"))
     own = shares.where("pre is null").select("doc_id", "key", "n_bytes", "num")
     # A row for each document: rows that agree in doc_id and text meet here, and are dealt out again.
