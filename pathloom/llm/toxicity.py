@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ LEAST_TOXIC = 5
 STEMS = (3, 4, 5, 6)
 RUN = 8
 HELD = 200_000
+TOKEN_BYTES = 64 << 20
 
 # Letters that a character can imitate.
 IMITATES = {
@@ -65,6 +67,7 @@ _SPACED = re.compile(r"(?<![\w@$!|])(?:[^\W_]|[@$!|])(?:[ .\-_*~](?:[^\W_]|[@$!|
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(4096)
 def code(c: str) -> int:
     return int(_CODES[ord(c)]) if ord(c) < 65_536 else _OTHER
 
@@ -154,23 +157,29 @@ def _spelled(read: tuple) -> str:
 def restore(s: str, model: np.ndarray) -> str:
     """The best reading of s (lower case) under the model."""
     s = _RUNS.sub(lambda m: m[1] * RUN, s)
-    # What was read is a chain of pieces from the last to the first.
-    best: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(s) + 1)]
-    best[0][0, 0] = (0.0, ())
+    # Two letters are one number, a * N + b. What was read is a chain of pieces from the last to the first.
+    log_p = model.reshape(-1).data
+    best: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(len(s) + 1)]
+    best[0][0] = (0.0, ())
     for i, here in enumerate(arcs(s)):
         reached, best[i] = best[i], {}
-        for (a, b), (score, read) in reached.items():
-            for out, to, cost in here:
-                x, y, total = a, b, score - cost
-                for c in out:
-                    z = code(c)
-                    if z or y:  # word ends in a row are one
-                        total += float(model[x, y, z])
-                        x, y = y, z
-                if (x, y) not in best[to] or best[to][x, y][0] < total:
-                    best[to][x, y] = (total, (read, out))
-    end = [(score + float(model[a, b, 0]) * (b != 0), _spelled(read)) for (a, b), (score, read) in best[-1].items()]
-    return max(end)[1] if end else s
+        coded = [(out, best[to], cost, [code(c) for c in out]) for out, to, cost in here]
+        for before, (score, read) in reached.items():
+            for out, ahead, cost, letters in coded:
+                two, total = before, score - cost
+                for z in letters:
+                    last = two % N
+                    if z or last:  # word ends in a row are one
+                        total += log_p[two * N + z]
+                        two = last * N + z
+                held = ahead.get(two)
+                if held is None or held[0] < total:
+                    ahead[two] = (total, (read, out))
+    if not best[-1]:
+        return s
+    end = [(score + log_p[two * N] * (two % N != 0), read) for two, (score, read) in best[-1].items()]
+    top = max(score for score, _ in end)
+    return max(_spelled(read) for score, read in end if score == top)
 
 
 def restored_words(token: str, model: np.ndarray) -> list[str]:
@@ -199,13 +208,28 @@ class _Tokens(Bounded):
     """Features of a token, remembered; only those in known, if given."""
 
     def __init__(self, model: np.ndarray, known: dict[str, int] | None = None):
-        super().__init__()
+        super().__init__(TOKEN_BYTES)
         self.model, self.known = model, known
 
     def __missing__(self, token: str) -> tuple:
-        found = features(restored_words(token, self.model))
-        out = tuple(found) if self.known is None else tuple(sorted(self.known[f] for f in found if f in self.known))
-        self.keep(token, out, 48 + 8 * len(out) + (sum(map(len, out)) + 60 * len(out) if self.known is None else 0))
+        words = restored_words(token, self.model)
+        if self.known is None:
+            out = tuple(features(words))
+            size = 48 + sum(map(len, out)) + 68 * len(out)
+        else:
+            known, found = self.known, set()
+            for w in words:
+                if len(w) <= STEMS[-1] and w + "$" in known:
+                    found.add(known[w + "$"])
+                for k in STEMS:
+                    if len(w) < k:
+                        break
+                    if w[:k] in known:
+                        found.add(known[w[:k]])
+            out = tuple(sorted(found))
+            # Most have none, and share one empty tuple.
+            size = 48 + 8 * len(out) if out else 0
+        self.keep(token, out, size)
         return out
 
 
