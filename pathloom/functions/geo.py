@@ -138,6 +138,11 @@ def point_at(coords: Column, length_m: Column, offset_m: Column) -> Column:
     return F.aggregate(legs, start, step, lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
 
 
+def leg_share(size2: Column, dx: Column, dy: Column, a_lat: Column, a_lon: Column, lat: Column, lon: Column) -> Column:
+    """Place of the nearest point of a leg, 0 at its start and 1 at its end."""
+    return F.when(size2 > 0, F.least(F.greatest(((lon - a_lon) * dx + (lat - a_lat) * dy) / size2, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
 def projected(coords: Column, length_m: Column, lat: Column, lon: Column) -> Column:
     """struct(perp_m, offset_m) of the point of an edge that is nearest in degrees (the first of equals)."""
     start = F.struct(F.lit(0.0).alias("pos"), F.lit(float("inf")).alias("d2"), F.lit(0.0).alias("at"), F.lit(0.0).alias("plat"), F.lit(0.0).alias("plon"))
@@ -147,7 +152,7 @@ def projected(coords: Column, length_m: Column, lat: Column, lon: Column) -> Col
         a, b = F.get(coords, i - 1), F.get(coords, i)
         dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
         size2 = dx * dx + dy * dy
-        t = F.when(size2 > 0, F.least(F.greatest(((lon - a["lon"]) * dx + (lat - a["lat"]) * dy) / size2, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        t = leg_share(size2, dx, dy, a["lat"], a["lon"], lat, lon)
         px, py = a["lon"] + t * dx, a["lat"] + t * dy
         d2 = F.pow(lon - px, 2) + F.pow(lat - py, 2)
         near = d2 < x["d2"]

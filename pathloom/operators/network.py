@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from pathloom.config import Config
 from pathloom.functions import geo
+from pathloom.sources.work import kept
 
 #: Side of a grid cell in degrees.
 CELL = 0.004
+#: Edges by cell that are broadcast; above that points meet them by a shuffle.
+BROADCAST_CELLS = 200_000
 DEFAULT = Config()
 
 
@@ -113,25 +116,58 @@ def _cells(lat: Column, lon: Column) -> list[Column]:
 
 
 def edge_cells(edges: DataFrame, radius_m: float) -> DataFrame:
-    """Edges in each cell from which a point within the radius could lie."""
+    """Edges in each cell from which a point within the radius could lie, with the box of such points.
+
+    A single leg comes as its start (a_lat, a_lon), way (dx, dy) and size2, the square of its degrees; other polylines as coords, with size2 null.
+    """
     pad = radius_m / geo.M_PER_DEGREE * 1.001
     pad_lon = F.lit(pad) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.greatest(F.abs("lat_min"), F.abs("lat_max")) + pad)))
-    rows = edges.select("link_id", "coords", "length_m", *(F.floor(x / CELL).alias(n) for n, x in (("y0", F.col("lat_min") - pad), ("y1", F.col("lat_max") + pad), ("x0", F.col("lon_min") - pad_lon), ("x1", F.col("lon_max") + pad_lon))))
-    rows = rows.withColumn("cy", F.explode(F.sequence("y0", "y1"))).withColumn("cx", F.explode(F.sequence("x0", "x1")))
-    return rows.select("cy", "cx", "link_id", "coords", "length_m")
+    box = {"south": F.col("lat_min") - pad, "north": F.col("lat_max") + pad, "west": F.col("lon_min") - pad_lon, "east": F.col("lon_max") + pad_lon}
+    one = F.size("coords") == 2
+    a, b = F.get("coords", F.lit(0)), F.get("coords", F.lit(1))
+    dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
+    leg = {"a_lat": a["lat"], "a_lon": a["lon"], "dx": dx, "dy": dy, "size2": dx * dx + dy * dy}
+    rows = edges.select("link_id", "length_m", *(x.alias(n) for n, x in box.items()), *(F.when(one, x).alias(n) for n, x in leg.items()), F.when(one, F.lit(None)).otherwise(F.col("coords")).alias("coords"))
+    rows = rows.withColumn("cy", F.explode(F.sequence(F.floor(F.col("south") / CELL), F.floor(F.col("north") / CELL)))).withColumn("cx", F.explode(F.sequence(F.floor(F.col("west") / CELL), F.floor(F.col("east") / CELL))))
+    return rows.select("cy", "cx", "link_id", "length_m", *box, *leg, "coords")
+
+
+def _met(points: DataFrame, edges: DataFrame, radius_m: float, how: str = "inner") -> DataFrame:
+    """points with link_id, offset_m, perp_m of edges whose box holds them: a grid join, and plain arithmetic where the edge is a single leg. A point lies in one cell, so there are no repeats."""
+    cells = kept(edge_cells(edges, radius_m), "cells")
+    # Counted, not estimated: a plan of joins and explodes has no size of its own.
+    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    lat, lon = F.col("p.lat"), F.col("p.lon")
+    inside = lat.between(F.col("e.south"), F.col("e.north")) & lon.between(F.col("e.west"), F.col("e.east"))
+    rows = points.alias("p").join(cells.alias("e"), (F.floor(lat / CELL) == F.col("e.cy")) & (F.floor(lon / CELL) == F.col("e.cx")) & inside, how)
+    rows = rows.select(*(F.col(f"p.`{c}`") for c in points.columns), *(F.col(f"e.{c}").alias("link_id" if c == "link_id" else f"__{c}") for c in ("link_id", "length_m", "a_lat", "a_lon", "dx", "dy", "size2", "coords")))
+    leg = [F.col(f"__{c}") for c in ("size2", "dx", "dy", "a_lat", "a_lon")]
+    rows = rows.withColumn("__t", geo.leg_share(*leg, F.col("lat"), F.col("lon")))
+    rows = rows.withColumns({"__x": F.col("__a_lon") + F.col("__t") * F.col("__dx"), "__y": F.col("__a_lat") + F.col("__t") * F.col("__dy"), "__s": F.sqrt("__size2")})
+    rows = rows.withColumn("__line", F.when(F.col("__size2").isNull(), geo.projected(F.col("__coords"), F.col("__length_m"), F.col("lat"), F.col("lon"))))
+    known = F.col("__s") > 0
+    perp = F.when(known, geo.plane_m(F.col("lat"), F.col("lon"), F.col("__y"), F.col("__x"))).when(F.col("__s").isNull(), F.col("__line.perp_m")).otherwise(F.lit(float("inf")))
+    offset = F.when(known, F.col("__t") * F.col("__s") / F.col("__s") * F.col("__length_m")).when(F.col("__s").isNull(), F.col("__line.offset_m")).otherwise(0.0)
+    return rows.select(*points.columns, "link_id", offset.alias("offset_m"), perp.alias("perp_m"))
 
 
 def near_edges(points: DataFrame, edges: DataFrame, radius_m: float) -> DataFrame:
-    """points with link_id, offset_m, perp_m of every edge within the radius: a grid join and an exact projection. A point lies in one cell, so there are no repeats."""
-    rows = points.withColumns({"cy": F.floor(F.col("lat") / CELL), "cx": F.floor(F.col("lon") / CELL)}).join(edge_cells(edges, radius_m), ["cy", "cx"])
-    rows = rows.withColumn("p", geo.projected(F.col("coords"), F.col("length_m"), F.col("lat"), F.col("lon"))).where(F.col("p.perp_m") <= radius_m)
-    return rows.select(*points.columns, "link_id", F.col("p.offset_m").alias("offset_m"), F.col("p.perp_m").alias("perp_m"))
+    """points with link_id, offset_m, perp_m of every edge within the radius."""
+    return _met(points, edges, radius_m).where(F.col("perp_m") <= radius_m)
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, key: list[str], radius_m: float) -> DataFrame:
+    """key with link_id, offset_m, perp_m of the nearest edge by (perp_m, link_id), null beyond the radius; a row for each key."""
+    best = F.min(F.when(F.col("perp_m") <= radius_m, F.struct("perp_m", "link_id", "offset_m")))
+    rows = _met(points.select(*key, "lat", "lon"), edges, radius_m, "left").groupBy(*key).agg(best.alias("x"))
+    return rows.select(*key, *(F.col(f"x.{c}").alias(c) for c in ("link_id", "offset_m", "perp_m")))
 
 
 def project(points: DataFrame, edges: DataFrame, key: list[str], radius_m: float = 50.0, most: int = 5) -> DataFrame:
     """The nearest edges of each point, by (perp_m, link_id), as rank 0..most-1."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("perp_m", "link_id"))
-    return near_edges(points, edges, radius_m).withColumn("rank", rank - 1).where(F.col("rank") < most)
+    return near_edges(points, edges, radius_m).withColumn("rank", rank).where(F.col("rank") <= most).withColumn("rank", F.col("rank") - 1)
 
 
 def project_widening(points: DataFrame, edges: DataFrame, key: list[str], radius_m: float = DEFAULT.candidate_radius_m, most: int = DEFAULT.max_state_candidates, max_radius_m: float = DEFAULT.candidate_max_radius_m) -> DataFrame:
@@ -140,11 +176,11 @@ def project_widening(points: DataFrame, edges: DataFrame, key: list[str], radius
     while r < max_radius_m:
         r = min(2 * r, max_radius_m)
         rings.append(r)
-    rows = near_edges(points, edges, rings[-1])
-    least = F.min("perp_m").over(Window.partitionBy(*key))
-    ring = F.coalesce(*(F.when(least <= x, F.lit(x)) for x in rings))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("perp_m", "link_id"))
-    return rows.withColumn("ring", ring).where("perp_m <= ring").withColumn("rank", rank - 1).where(F.col("rank") < most).drop("ring")
+    # The rows of a ring come first in this order, so ranks and the least distance need one sort.
+    w = Window.partitionBy(*key).orderBy("perp_m", "link_id")
+    rows = near_edges(points, edges, rings[-1]).withColumns({"rank": F.row_number().over(w) - 1, "__least": F.first("perp_m").over(w)})
+    ring = F.coalesce(*(F.when(F.col("__least") <= x, F.lit(x)) for x in rings))
+    return rows.where((F.col("rank") < most) & (F.col("perp_m") <= ring)).drop("__least")
 
 
 def perpendicular(rows: DataFrame, edges: DataFrame) -> DataFrame:

@@ -21,8 +21,7 @@ SIGN_EPSILON = 1e-6
 
 def snap(obs: DataFrame, edges: DataFrame, radius_m: float = 200.0) -> DataFrame:
     """The nearest edge of each observation (trip_id, k, lat, lon); null beyond the radius."""
-    near = network.project(obs, edges, ["trip_id", "k"], radius_m, 1).select("trip_id", "k", "link_id", "offset_m", "perp_m")
-    return obs.select("trip_id", "k").join(near, ["trip_id", "k"], "left")
+    return network.nearest_edge(obs, edges, ["trip_id", "k"], radius_m)
 
 
 def disagreement(a: DataFrame, b: DataFrame) -> DataFrame:
