@@ -10,7 +10,7 @@ from pathloom.operators import network
 from tests.test_whole import SF, by_sql, plain
 
 #: Queries that look for edges near pings.
-NEAR = ["edge_disagreement", "project_widening", "snap_baseline", "emission_logpdf_all"]
+NEAR = ["edge_disagreement", "project_widening", "snap_baseline", "emission_logpdf_all", "project_topk"]
 
 
 def plan(df):
