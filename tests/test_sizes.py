@@ -63,3 +63,12 @@ def test_near_edges_of_legs_and_polylines(spark, monkeypatch):
         assert one.keys() == first.keys() and None in one.values()
         # Links 1 and 5 are one road in two directions.
         assert all({one[n], e} <= {1, 5} or one[n] == e for n, e in first.items())
+
+
+@pytest.mark.parametrize("name", ["path_marginals_all"])
+def test_marginals_neither_broadcast_nor_infer_again(spark, name):
+    got = registry.queries()[name](spark, SF)
+    assert plain(got.toPandas()) == plain(by_sql(name))
+    final = plan(got)
+    assert "isFinalPlan=true" in final and "SortMergeJoin" in final
+    assert "Broadcast" not in final.split("== Initial Plan ==")[0] and "FlatMapCoGroups" not in final
