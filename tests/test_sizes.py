@@ -65,7 +65,7 @@ def test_near_edges_of_legs_and_polylines(spark, monkeypatch):
         assert all({one[n], e} <= {1, 5} or one[n] == e for n, e in first.items())
 
 
-@pytest.mark.parametrize("name", ["path_marginals_all"])
+@pytest.mark.parametrize("name", ["path_marginals_all", "path_marginals"])
 def test_marginals_neither_broadcast_nor_infer_again(spark, name):
     got = registry.queries()[name](spark, SF)
     assert plain(got.toPandas()) == plain(by_sql(name))
