@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,27 +59,96 @@ def isotonic(rows: DataFrame, weight: str | None = None) -> DataFrame:
     return model.fit(table).transform(table).select("prob", F.col("prediction").alias("rescaled")).distinct()
 
 
-def _groups(records: DataFrame, run, out: str) -> DataFrame:
-    # A transition has at most Config.max_path_candidates paths, so a group is small.
-    return records.select("trip_id", "k", "path_id", "prob", "segs").groupBy("trip_id", "k").applyInPandas(run, out)
+def _shared(segs: pa.ListArray, starts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in groups (rank: a row's place in its group) the place of each row's first pair, and of each pair of a row and an earlier one of its group the sizes of intersection and union of their sets."""
+    n = len(rank)
+    codes = segs.flatten().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    held = np.unique(np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(segs), 0).to_numpy(zero_copy_only=False)) * (m := int(codes.max(initial=0)) + 1) + codes)
+    row, code = held // m, held % m
+    size = np.bincount(row, minlength=n)
+    # Rows of a group that have an element, next to each other and in order.
+    own = starts[row] * m + code
+    order = np.argsort(own, kind="stable")
+    row, new = row[order], np.r_[True, np.diff(own[order]) != 0][: len(own)]
+    place = np.arange(len(row))
+    before = place - np.maximum.accumulate(np.where(new, place, 0))
+    later = np.repeat(place, before)
+    earlier = later - 1 - (np.arange(len(later)) - np.repeat(np.cumsum(before) - before, before))
+    base = np.cumsum(rank) - rank
+    both = np.bincount(base[row[later]] + rank[row[earlier]], minlength=int(rank.sum()))
+    b = np.repeat(np.arange(n), rank)
+    a = starts[b] + np.arange(len(b)) - base[b]
+    return base, both, size[a] + size[b] - both
+
+
+def _linked(segs: pa.ListArray, starts: np.ndarray, rank: np.ndarray, tau: float) -> np.ndarray:
+    """Group-relative number (of its first row) of each row's cluster."""
+    base, both, union = _shared(segs, starts, rank)
+    near = (union == 0) | (1 - both / np.maximum(union, 1) <= tau)
+    own = rank.copy()
+    for r in range(1, int(rank.max(initial=0)) + 1):
+        at = np.flatnonzero(rank == r)
+        earlier = starts[at][:, None] + np.arange(r)
+        on, labels = near[base[at][:, None] + np.arange(r)], own[earlier]
+        least = np.where(on, labels, r).min(axis=1)
+        joined = np.zeros((len(at), r), bool)
+        i, j = np.nonzero(on)
+        joined[i, labels[i, j]] = True
+        own[earlier] = np.where(np.take_along_axis(joined, labels, 1), least[:, None], labels)
+        own[at] = least
+    return own
+
+
+def _taken(segs: pa.ListArray, starts: np.ndarray, rank: np.ndarray, most: int, tau: float) -> np.ndarray:
+    """Place of each row among those taken in its group, 0 if it isn't."""
+    base, both, union = _shared(segs, starts, rank)
+    near = ~(1 - both / np.maximum(union, 1) >= tau)
+    out = np.zeros(len(rank), np.int64)
+    for r in range(int(rank.max(initial=0)) + 1):
+        at = np.flatnonzero(rank == r)
+        earlier = out[starts[at][:, None] + np.arange(r)] > 0
+        n = earlier.sum(axis=1)
+        ok = (n < most) & ~(earlier & near[base[at][:, None] + np.arange(r)]).any(axis=1)
+        out[at] = np.where(ok, n + 1, 0)
+    return out
+
+
+def _groups(records: DataFrame, order: list[Column | str], run, out: str) -> DataFrame:
+    """run(rows, starts, rank) over many whole transitions at once, each in order; a transition has at most Config.max_path_candidates paths, so a group is small."""
+    # The window brings transitions together, in the shuffle that the records may already have, and tells where they begin.
+    n = F.row_number().over(Window.partitionBy("trip_id", "k").orderBy(*order))
+    rows = records.select("trip_id", "k", "path_id", "prob", "segs").withColumn("__n", n).select("trip_id", "k", "path_id", "segs", "__n")
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        rank = rows.column(4).to_numpy().astype(np.int64) - 1
+        return run(rows, np.arange(len(rank)) - rank, rank)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for part in parts:
+            begins = np.flatnonzero(part.column(4).to_numpy() == 1)
+            if len(begins):
+                held.append(part.slice(0, begins[-1]))
+                if sum(x.num_rows for x in held):
+                    yield whole(held)
+                held = []
+                part = part.slice(begins[-1])
+            held.append(part)
+        if sum(x.num_rows for x in held):
+            yield whole(held)
+
+    return rows.mapInArrow(batches, out)
 
 
 def clusters(records: DataFrame, tau: float) -> DataFrame:
     """path_id, cluster (its smallest path): single linkage of a transition's paths at Jaccard distance tau."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("path_id")
-        ids, sets = rows["path_id"].tolist(), [set(s) for s in rows["segs"]]
-        own = list(range(len(ids)))
-        for b in range(len(ids)):
-            for a in range(b):
-                both = len(sets[a] | sets[b])
-                if own[a] != own[b] and (both == 0 or 1 - len(sets[a] & sets[b]) / both <= tau):
-                    old, new = max(own[a], own[b]), min(own[a], own[b])
-                    own = [new if x == old else x for x in own]
-        return rows[["trip_id", "k", "path_id"]].assign(cluster=[ids[x] for x in own])
+    def run(rows: pa.RecordBatch, starts: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        own = _linked(rows.column(3), starts, rank, tau)
+        return pa.RecordBatch.from_arrays([*rows.columns[:3], rows.column(2).take(pa.array(starts + own))], ["trip_id", "k", "path_id", "cluster"])
 
-    return _groups(records, run, "trip_id long, k long, path_id long, cluster long")
+    return _groups(records, ["path_id"], run, "trip_id long, k long, path_id long, cluster long")
 
 
 def cluster_scores(records: DataFrame, tau: float, match: float = 0.5) -> DataFrame:
@@ -91,18 +165,12 @@ def cluster_scores(records: DataFrame, tau: float, match: float = 0.5) -> DataFr
 def diverse(records: DataFrame, most: int, tau: float) -> DataFrame:
     """path_id, place: greedily by prob, paths at Jaccard distance tau or more from all taken before, up to `most`."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["prob", "path_id"], ascending=[False, True])
-        taken, kept = [], []
-        for s in map(set, rows["segs"]):
-            ok = len(taken) < most and all(1 - len(s & t) / max(1, len(s | t)) >= tau for t in taken)
-            kept.append(ok)
-            if ok:
-                taken.append(s)
-        out = rows[kept][["trip_id", "k", "path_id"]]
-        return out.assign(place=range(1, len(out) + 1))
-
-    return _groups(records, run, "trip_id long, k long, path_id long, place long")
+    def run(rows: pa.RecordBatch, starts: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        place = _taken(rows.column(3), starts, rank, most, tau)
+        return pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(place)], ["trip_id", "k", "path_id", "place"]).filter(pa.array(place > 0))
+
+    prob = F.when(~F.isnan("prob"), F.col("prob"))
+    return _groups(records, [prob.desc_nulls_last(), F.col("path_id")], run, "trip_id long, k long, path_id long, place long")
 
 
 def overlap_sum(windows: DataFrame, stays: DataFrame) -> DataFrame:

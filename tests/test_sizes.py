@@ -72,3 +72,48 @@ def test_marginals_neither_broadcast_nor_infer_again(spark, name):
     final = plan(got)
     assert "isFinalPlan=true" in final and "SortMergeJoin" in final
     assert "Broadcast" not in final.split("== Initial Plan ==")[0] and "FlatMapCoGroups" not in final
+
+
+def jaccard(a, b):
+    return 1 - len(a & b) / len(a | b) if a | b else 0.0
+
+
+@pytest.fixture(scope="module")
+def paths(spark):
+    """Transitions of 1 to 60 paths with sets of 0 to 7 edges, some repeated within an array, some arrays null, in more batches than one."""
+    import random
+
+    draw = random.Random(7)
+    rows = []
+    for trip in range(400):
+        for k in range(3):
+            for p in range(60 if trip % 97 == 0 else draw.randint(1, 6)):
+                rows.append((trip, k, p * 3 % 61, draw.randint(1, 9) / 10, draw.choices(range(5 + p), k=draw.randint(0, 7)) if draw.random() < 0.95 else None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    yield rows, spark.createDataFrame(rows, "trip_id long, k long, path_id long, prob double, segs array<long>").repartition(5)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def transitions(rows):
+    out = {}
+    for trip, k, p, prob, segs in rows:
+        out.setdefault((trip, k), {})[p] = (prob, set(segs or ()))
+    return out
+
+
+@pytest.mark.parametrize("tau", [0.0, 0.4, 0.8])
+def test_clusters_of_many_transitions_at_once(paths, tau):
+    rows, table = paths
+    got = registry.analytics.clusters(table, tau)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    want = {}
+    for at, own in transitions(rows).items():
+        for p in own:
+            seen, open_ = {p}, [p]
+            while open_:
+                x = open_.pop()
+                new = {y for y in own if y not in seen and jaccard(own[x][1], own[y][1]) <= tau}
+                seen |= new
+                open_ += new
+            want[*at, p] = min(seen)
+    assert {(r.trip_id, r.k, r.path_id): r.cluster for r in got.collect()} == want
