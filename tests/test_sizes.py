@@ -117,3 +117,19 @@ def test_clusters_of_many_transitions_at_once(paths, tau):
                 open_ += new
             want[*at, p] = min(seen)
     assert {(r.trip_id, r.k, r.path_id): r.cluster for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("tau", [0.3, 0.5, 1.0])
+def test_diverse_paths_of_many_transitions_at_once(paths, tau):
+    rows, table = paths
+    got = registry.analytics.diverse(table, 5, tau)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    want = {}
+    for at, own in transitions(rows).items():
+        taken = []
+        for p in sorted(own, key=lambda p: (-own[p][0], p)):
+            # Two empty sets are wholly different here.
+            if len(taken) < 5 and all(1 - len(own[p][1] & own[t][1]) / max(1, len(own[p][1] | own[t][1])) >= tau for t in taken):
+                taken.append(p)
+                want[*at, p] = len(taken)
+    assert {(r.trip_id, r.k, r.path_id): r.place for r in got.collect()} == want
