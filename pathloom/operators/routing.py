@@ -186,14 +186,14 @@ def shortest_times(points: DataFrame, edges: DataFrame, key: list[str], factor:
 
     Forward on one edge it is the offset's share; otherwise the rest of the first edge, the graph, and the beginning of the last. Infinite without a nearby edge or a way.
     """
-    from pathloom.operators.network import project
-
-    ends = []
-    for end, lat, lon in (("a", "lat", "lon"), ("b", "to_lat", "to_lon")):
-        near = project(points.select(*key, F.col(lat).alias("lat"), F.col(lon).alias("lon")), edges, key, radius_m, 1)
-        near = near.join(edges.select("link_id", "from_node", "to_node", F.col("length_m").alias("len"), F.col("max_ms").alias("v")), "link_id")
-        ends.append(near.select(*key, *(F.col(c).alias(f"{end}_{c}") for c in ("link_id", "offset_m", "from_node", "to_node", "len", "v"))))
-    rows = points.select(*key).join(ends[0], key, "left").join(ends[1], key, "left")
+    from pathloom.operators.network import nearest_edge
+
+    side = lambda end, lat, lon: F.struct(F.lit(end).alias("end"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    both = points.select(*key, F.explode(F.array(side("a", "lat", "lon"), side("b", "to_lat", "to_lon"))).alias("x")).select(*key, F.col("x.end").alias("__end"), "x.lat", "x.lon")
+    near = nearest_edge(both, edges, [*key, "__end"], radius_m).join(edges.select("link_id", "from_node", "to_node", F.col("length_m").alias("len"), F.col("max_ms").alias("v")), "link_id", "left")
+    names = ("link_id", "offset_m", "from_node", "to_node", "len", "v")
+    at = {f"{end}_{c}": F.max(F.when(F.col("__end") == end, F.col(c))) for end in "ab" for c in names}
+    rows = kept(near.groupBy(*key).agg(*(x.alias(n) for n, x in at.items())), "ends")
     times = node_times(rows.where("a_link_id is not null and b_link_id is not null").select(F.col("a_to_node").alias("from_node"), F.col("b_from_node").alias("to_node")), edges)
     rows = rows.join(times.select(F.col("from_node").alias("a_to_node"), F.col("to_node").alias("b_from_node"), "time_s"), ["a_to_node", "b_from_node"], "left")
     forward = (F.col("a_link_id") == F.col("b_link_id")) & (F.col("b_offset_m") >= F.col("a_offset_m"))
@@ -253,6 +253,8 @@ def candidate_paths(states: DataFrame, transitions: DataFrame, edges: DataFrame,
 
     if cfg.enable_offroad:
         every = every.unionByName(_off_road(pairs, every, cfg).select(*every.columns))
+    # All that is counted within a transition needs this one shuffle.
+    every = every.repartition("trip_id", "k")
     # Of paths with the same links and directions the fastest stays; off-road ones replace equals if shorter.
     order = [F.when(F.col("off_road"), F.col("length_m")).otherwise(F.lit(0.0)), "ett_s", "a_rank", "b_rank", "option", "route"]
     first = F.row_number().over(Window.partitionBy("trip_id", "k", "edges", "mask", "off_road").orderBy(*order))
@@ -261,7 +263,7 @@ def candidate_paths(states: DataFrame, transitions: DataFrame, edges: DataFrame,
     best = best.withColumn("__n", F.row_number().over(spelled.orderBy("length_m", "off_road"))).withColumn("__c", F.count("*").over(spelled)).where("__c = 1 or __n = 1").drop("__n", "__c")
     best = best.select("trip_id", "k", "edges", "mask", F.col("a_off").alias("start_offset"), F.col("b_off").alias("end_offset"), "ett_s", "length_m", "min_s", "budget_s", F.col("a_perp").alias("start_perp"), F.col("b_perp").alias("end_perp"), "off_road", F.struct("a_rank", "b_rank", "option", "route").alias("made"))
     best = best.withColumn("path_id", F.row_number().over(Window.partitionBy("trip_id", "k").orderBy("ett_s", "made", "off_road")) - 1)
-    full = route_and_features(best, edges, ["trip_id", "k", "path_id"])
+    full = route_and_features(kept(best, "best"), edges, ["trip_id", "k", "path_id"]).repartition("trip_id", "k")
     if cfg.diversify_truncation:
         from pathloom.operators.network import diverse_rank
 

@@ -133,3 +133,25 @@ def test_diverse_paths_of_many_transitions_at_once(paths, tau):
                 taken.append(p)
                 want[*at, p] = len(taken)
     assert {(r.trip_id, r.k, r.path_id): r.place for r in got.collect()} == want
+
+
+def test_paths_of_one_shape_share_features(spark, monkeypatch):
+    """3 x 60 paths of few shapes: road edges are read once a shape, and each path has its own lengths and times."""
+    from pathloom.operators import candidates
+
+    seen, own = {}, candidates.kept
+    monkeypatch.setattr(candidates, "kept", lambda df, name: seen.setdefault(name, own(df, name)))
+    edges = registry.kept(registry.edges_of(spark))
+    one = registry._two_hop(spark).orderBy("path_id").limit(60)
+    unknown = one.limit(1).withColumn("edges", F.expr("array(-1L, -2L)")).withColumn("path_id", F.lit(-1).cast("long"))
+    many = registry.kept(one.unionByName(unknown).withColumn("copy", F.explode(F.expr("array(0, 1, 2)"))).withColumn("length_m", F.col("length_m") + F.col("copy")))
+    got = {(r.path_id, r.copy): r for r in candidates.route_and_features(many, edges, ["path_id", "copy"]).collect()}
+    assert len(got) == 183 and seen["shapes"].count() == many.select("edges", "mask", "off_road").distinct().count() <= 61
+    want = {r.path_id: r for r in registry.path_features(spark, SF).collect()}
+    for (path, copy), r in got.items():
+        if path >= 0:
+            assert r.route == want[path].route
+            assert [round(x, 6) for x in r.phi[1:]] == pytest.approx([want[path][f"phi_{i:02d}"] for i in range(1, 19)], abs=2e-6)
+            assert r.phi[0] == pytest.approx(r.length_m / 1000) == pytest.approx(want[path].phi_00 + copy / 1000, abs=1e-6)
+        else:
+            assert r.route == ("" if not r.off_road else None) and r.phi[1] == 0
