@@ -155,3 +155,15 @@ def test_paths_of_one_shape_share_features(spark, monkeypatch):
             assert r.phi[0] == pytest.approx(r.length_m / 1000) == pytest.approx(want[path].phi_00 + copy / 1000, abs=1e-6)
         else:
             assert r.route == ("" if not r.off_road else None) and r.phi[1] == 0
+
+
+def test_both_ends_of_hops_are_found_in_one_pass(spark, monkeypatch):
+    seen, own = [], network.nearest_edge
+    monkeypatch.setattr(network, "nearest_edge", lambda *a: seen.append(a) or own(*a))
+    edges = registry.kept(registry.edges_of(spark))
+    e = {r.link_id: r for r in edges.collect()}
+    points = spark.createDataFrame([(1, 0, 41.13, -8.6298, 41.13, -8.6285), (1, 1, 41.13, -8.6298, 45.0, 0.0), (1, 2, 45.0, 0.0, 45.0, 0.0)], "trip_id long, k long, lat double, lon double, to_lat double, to_lon double")
+    got = {r.k: r.min_travel_s for r in registry.routing.shortest_times(points, edges, ["trip_id", "k"], 2.0).collect()}
+    assert len(seen) == 1
+    link = e[min(n for n, r in e.items() if {r.from_node, r.to_node} == {0, 1})]
+    assert got == {0: pytest.approx(link.length_m * 0.65 / link.max_ms / 2, rel=1e-6), 1: math.inf, 2: math.inf}
