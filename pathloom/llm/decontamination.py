@@ -48,6 +48,8 @@ EDIT_SHARE = 0.2
 WALKS, TABLES, POSITIONS = 6, 6, 2
 ITEMS = 20_000
 ITEM_CHARS = 4_000_000
+#: Flags of a pair and a length that a block of items holds at most; beyond that each length's pairs are searched.
+PAIR_FLAGS = 16_000_000
 #: Windows that are embedded at once.
 WINDOWS = 50_000
 
@@ -55,10 +57,22 @@ _WORD = re.compile(r"[^\W_]+")
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: What the two steps of words_of make of each character below 256: its lower case, or a space between words.
+_PLAIN = b"".join(c.lower().encode("latin-1") if _WORD.match(c) else b" " for c in map(chr, range(256)))
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def byte_words(text: str) -> list[bytes] | None:
+    """words_of a text of characters below 256, each in Latin-1; None for other texts."""
+    try:
+        return text.encode("latin-1").translate(_PLAIN).split()
+    except UnicodeEncodeError:
+        return None
+
+
 def most_edits(n: int) -> int:
     return int(EDIT_SHARE * n)
 
@@ -121,6 +135,7 @@ class Items:
         split = [(i, words_of(t)) for i, t in items]
         split = [(i, w) for i, w in split if w]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in split for w in ws}), 1)}
+        self.byte_vocabulary = {w.encode("latin-1"): k for w, k in self.vocabulary.items() if max(w) < "\u0100"}
         coded = [(i, np.array([self.vocabulary[w] for w in ws], np.int64)) for i, ws in split]
         size = len(self.vocabulary) + 1
         self.size = size
@@ -130,6 +145,8 @@ class Items:
             own = [(i, w) for i, w in coded if len(w) == n]
             self.by_length[n] = ([i for i, _ in own], np.stack([w for _, w in own]))
         self.pairs_of = {n: np.unique(rows[:, :-1] * size + rows[:, 1:]) for n, (_, rows) in self.by_length.items()}
+        # Which lengths have a pair, where that is a small table.
+        self.has_pair = np.stack([np.isin(self.pairs, x, assume_unique=True) for x in self.pairs_of.values()]) if 0 < len(self.pairs) * len(self.pairs_of) <= PAIR_FLAGS else None
         self.tables = {n: [keys(rows, walk) for walk in range(WALKS)] for n, (_, rows) in self.by_length.items()}
 
     def near(self, n: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +174,7 @@ class Items:
         out: list[dict] = [{} for _ in texts]
         if not self.by_length:
             return out
-        shortest, code = min(self.by_length), self.vocabulary.get
-        longest = max(self.by_length)
+        shortest, longest = min(self.by_length), max(self.by_length)
         need = {n: n - 1 - 2 * most_edits(n) for n in self.by_length}
         # A window of n words is covered by ceil(n / shortest) stretches of the shortest length; one of them has its share of the pairs.
         least = min(need.values())
@@ -166,7 +182,9 @@ class Items:
         starts: dict[int, list[tuple[int, np.ndarray]]] = {n: [] for n in self.by_length}
         coded: list[np.ndarray | None] = []
         for t, text in enumerate(texts):
-            ws = words_of(text)
+            ws, code = byte_words(text) if text else [], self.byte_vocabulary.get
+            if ws is None:
+                ws, code = words_of(text), self.vocabulary.get
             coded.append(None)
             if not ws:
                 continue
@@ -183,12 +201,20 @@ class Items:
             if dense > 0 and (total[shortest:] - total[:-shortest]).max() < dense:
                 continue
             both = c[hits] * self.size + c[hits + 1]
-            for n in self.by_length:
+            if self.has_pair is None:
+                flags = counts = None
+            else:
+                at = np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)
+                flags = self.has_pair[:, at] & (self.pairs[at] == both)
+                counts = flags.sum(axis=1).tolist()
+            for place, n in enumerate(self.by_length):
+                if counts is not None and counts[place] < need[n]:
+                    continue
                 last = len(c) - n + most_edits(n) + 1 if len(c) >= n - most_edits(n) else 0
                 if last <= 0:
                     continue
                 if need[n] > 0:
-                    own = hits[_among(both, self.pairs_of[n])]
+                    own = hits[_among(both, self.pairs_of[n]) if flags is None else flags[place]]
                     if len(own) < need[n]:
                         continue
                     mark = np.zeros(len(c) + longest + 1, np.int64)

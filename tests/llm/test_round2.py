@@ -187,3 +187,19 @@ def test_ids_of_odd_texts():
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40))) for _ in range(3000)] + [None, "", "w" * 50_000]
     flat, counts = token_files.Encoder(path).encode(pa.array(texts), 2)
     assert flat.tolist() == [i for t in texts for i in [*own.encode(t or "", add_special_tokens=False).ids, 2]] and counts.sum() == len(flat)
+
+
+def test_decontamination_words_of_bytes_and_flags_of_pairs(monkeypatch):
+    """Latin-1 texts are cut as others are, and items are found alike with and without the table of pairs."""
+    from pathloom.llm import decontamination as d
+
+    every = "".join(map(chr, range(256)))
+    for text in (every, every[::-1], "A_b  CÉé-µß\xa0x\x85y ", "_", ""):
+        assert [w.decode("latin-1") for w in d.byte_words(text)] == d.words_of(text)
+    assert d.byte_words("a ā") is None
+    items = [(1, "Der Übel sieben große Köpfe im Haus am See"), (2, "one two three four five six seven eight nine ten eleven"), (3, "α β one two three four five"), (4, "solo")]
+    texts = [None, "", "x der übel sieben große köpfe im haus am see y", "x der übel sieben große köpfe im haus am see — y", "one two three four five six seven 8 nine ten eleven", "Α Β ONE two three four five, solo", "_solo_"]
+    got = d.Items(items).search(texts)
+    monkeypatch.setattr(d, "PAIR_FLAGS", 0)
+    assert got == d.Items(items).search(texts)
+    assert [sorted(n for n, _ in x) for x in got] == [[], [], [9], [9], [11], [1, 7], [1]]
