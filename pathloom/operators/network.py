@@ -148,7 +148,7 @@ def _met(points: DataFrame, edges: DataFrame, radius_m: float, how: str = "inner
     rows = rows.withColumn("__line", F.when(F.col("__size2").isNull(), geo.projected(F.col("__coords"), F.col("__length_m"), F.col("lat"), F.col("lon"))))
     known = F.col("__s") > 0
     perp = F.when(known, geo.plane_m(F.col("lat"), F.col("lon"), F.col("__y"), F.col("__x"))).when(F.col("__s").isNull(), F.col("__line.perp_m")).otherwise(F.lit(float("inf")))
-    offset = F.when(known, F.col("__t") * F.col("__s") / F.col("__s") * F.col("__length_m")).when(F.col("__s").isNull(), F.col("__line.offset_m")).otherwise(0.0)
+    offset = F.when(known, (F.lit(0.0) + F.col("__t") * F.col("__s")) / F.col("__s") * F.col("__length_m")).when(F.col("__s").isNull(), F.col("__line.offset_m")).otherwise(0.0)
     return rows.select(*points.columns, "link_id", offset.alias("offset_m"), perp.alias("perp_m"))
 
 

@@ -1,6 +1,7 @@
 """Queries that must hold on large tables: what their plans may not do, and results against plain versions."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from tests.test_whole import SF, by_sql, plain
 NEAR = ["edge_disagreement", "project_widening", "snap_baseline", "emission_logpdf_all", "project_topk"]
 
 
+def unsigned(rows):
+    # DuckDB keeps the sign of a zero offset that Spark's round() drops.
+    return sorted(re.sub(r"-0\.0(?=[,\]])", "0.0", r) for r in rows)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -22,7 +28,7 @@ def test_points_meet_edges_without_a_shuffle_by_cell(spark, monkeypatch, name):
     met = []
     own = network._met
     monkeypatch.setattr(network, "_met", lambda *a: met.append(own(*a)) or met[-1])
-    assert plain(registry.queries()[name](spark, SF).toPandas()) == plain(by_sql(name))
+    assert unsigned(plain(registry.queries()[name](spark, SF).toPandas())) == unsigned(plain(by_sql(name)))
     assert len(met) == 1
     assert "BroadcastHashJoin" in plan(met[0]) and "hashpartitioning(cy" not in plan(met[0]) and "SortMergeJoin" not in plan(met[0])
 
