@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
+from pathloom.functions.batches import whole_groups
 
 # Edges of the reliability bins.
 BINS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0001)
@@ -119,24 +120,10 @@ def _groups(records: DataFrame, order: list[Column | str], run, out: str) -> Dat
     n = F.row_number().over(Window.partitionBy("trip_id", "k").orderBy(*order))
     rows = records.select("trip_id", "k", "path_id", "prob", "segs").withColumn("__n", n).select("trip_id", "k", "path_id", "segs", "__n")
 
-    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        rank = rows.column(4).to_numpy().astype(np.int64) - 1
-        return run(rows, np.arange(len(rank)) - rank, rank)
-
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for part in parts:
-            begins = np.flatnonzero(part.column(4).to_numpy() == 1)
-            if len(begins):
-                held.append(part.slice(0, begins[-1]))
-                if sum(x.num_rows for x in held):
-                    yield whole(held)
-                held = []
-                part = part.slice(begins[-1])
-            held.append(part)
-        if sum(x.num_rows for x in held):
-            yield whole(held)
+        for own in whole_groups(parts, 4):
+            rank = own.column(4).to_numpy().astype(np.int64) - 1
+            yield run(own, np.arange(len(rank)) - rank, rank)
 
     return rows.mapInArrow(batches, out)
 

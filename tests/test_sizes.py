@@ -189,3 +189,55 @@ def test_runs_without_groups_of_a_trip(spark):
     # The function that Spark ships does not group by run.
     names = registry.preprocess.collapse.__code__.co_consts
     assert not any("groupby" in c.co_names for c in names if hasattr(c, "co_names"))
+
+
+def test_inference_of_many_trips_at_once(spark):
+    """Trips with breaks, gaps in k, lone states and cells without states, in more batches than one: no group of a trip, and sums over all ways as by hand."""
+    import itertools
+    import random
+
+    from pathloom.operators import inference
+
+    draw = random.Random(11)
+    states, cells = [], []
+    for trip in range(60):
+        for k in range(draw.randint(1, 5)):
+            if trip % 7 != 3 or k != 1:
+                states += [(trip, k + trip % 3, i, -draw.random()) for i in range(draw.randint(1, 3))]
+        size = {k: sum(1 for s in states if s[:2] == (trip, k)) for k in range(9)}
+        for k, i, j in itertools.product(range(8), range(3), range(3)):
+            if i < size[k] and j < size[k + 1] and not (trip % 5 == 2 and k == 2) and draw.random() < 0.9:
+                x = -draw.random()
+                cells.append((trip, k, i, j, x + 0.1, x, 100 * k + 10 * i + j))
+    cells.append((99, 0, 0, 0, 0.0, 0.0, 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        got = inference.infer(spark.createDataFrame(states, "trip_id long, k long, i int, log_e double").repartition(3), spark.createDataFrame(cells, "trip_id long, k long, i int, j int, log_sum double, log_max double, best_path long").repartition(3))
+        assert "FlatMapCoGroups" not in plan(got)
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.trip_id for r in rows} == set(range(60)) and {r.seg for r in rows} > {0, 1} and any(r.cliff for r in rows) is False
+    e, sums, tops = {s[:3]: s[3] for s in states}, {c[:4]: c[4] for c in cells}, {c[:4]: c[5:] for c in cells}
+    segments = {}
+    for r in rows:
+        segments.setdefault((r.trip_id, r.seg), {}).setdefault(r.k, {})[r.i] = r
+    # A segment's states are all of its observations'.
+    assert all(len(own) == sum(1 for s in e if s[:2] == (trip, k)) for (trip, _), ks in segments.items() for k, own in ks.items())
+    for (trip, _), ks in segments.items():
+        first, last = min(ks), max(ks)
+        assert sorted(ks) == list(range(first, last + 1))
+        ways = {}
+        for way in itertools.product(*(sorted(ks[k]) for k in range(first, last + 1))):
+            steps = [(trip, first + n, a, b) for n, (a, b) in enumerate(zip(way, way[1:]))]
+            if all(x in sums for x in steps):
+                at = sum(e[trip, first + n, i] for n, i in enumerate(way))
+                ways[way] = (at + sum(sums[x] for x in steps), at + sum(tops[x][0] for x in steps))
+        z = sum(math.exp(x) for x, _ in ways.values())
+        best = max(ways, key=lambda w: ways[w][1])
+        for k, own in ks.items():
+            for i, r in own.items():
+                assert r.log_e == e[trip, k, i] and r.log_z == pytest.approx(math.log(z))
+                assert r.prob == pytest.approx(sum(math.exp(x) for w, (x, _) in ways.items() if w[k - first] == i) / z, abs=1e-12)
+                assert r.mle == (best[k - first] == i)
+                assert r.mle_path == (tops[trip, k, i, best[k + 1 - first]][1] if r.mle and k < last else None)
