@@ -20,6 +20,8 @@ from pathloom.sources.work import kept
 
 #: Side of a grid cell in degrees.
 CELL = 0.004
+#: Parts of that side that are tried, finest first: fewer edges lie in a small cell, but more rows in all.
+PARTS = (8, 4, 2, 1)
 #: Edges by cell that are broadcast; above that points meet them by a shuffle.
 BROADCAST_CELLS = 200_000
 DEFAULT = Config()
@@ -111,12 +113,8 @@ def in_box(edges: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon
     return rows.withColumn("typ_ms", geo.typical_speed(F.col("road_class"))).select(*edges.columns)
 
 
-def _cells(lat: Column, lon: Column) -> list[Column]:
-    return [F.floor(lat / CELL).alias("cy"), F.floor(lon / CELL).alias("cx")]
-
-
-def edge_cells(edges: DataFrame, radius_m: float) -> DataFrame:
-    """Edges in each cell from which a point within the radius could lie, with the box of such points.
+def edge_boxes(edges: DataFrame, radius_m: float) -> DataFrame:
+    """Edges with the box of points that could lie within the radius.
 
     A single leg comes as its start (a_lat, a_lon), way (dx, dy) and size2, the square of its degrees; other polylines as coords, with size2 null.
     """
@@ -127,25 +125,45 @@ def edge_cells(edges: DataFrame, radius_m: float) -> DataFrame:
     a, b = F.get("coords", F.lit(0)), F.get("coords", F.lit(1))
     dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
     leg = {"a_lat": a["lat"], "a_lon": a["lon"], "dx": dx, "dy": dy, "size2": dx * dx + dy * dy}
-    rows = edges.select("link_id", "length_m", *(x.alias(n) for n, x in box.items()), *(F.when(one, x).alias(n) for n, x in leg.items()), F.when(one, F.lit(None)).otherwise(F.col("coords")).alias("coords"))
-    rows = rows.withColumn("cy", F.explode(F.sequence(F.floor(F.col("south") / CELL), F.floor(F.col("north") / CELL)))).withColumn("cx", F.explode(F.sequence(F.floor(F.col("west") / CELL), F.floor(F.col("east") / CELL))))
-    return rows.select("cy", "cx", "link_id", "length_m", *box, *leg, "coords")
+    return edges.select("link_id", "length_m", "lat_min", "lat_max", "lon_min", "lon_max", *(x.alias(n) for n, x in box.items()), *(F.when(one, x).alias(n) for n, x in leg.items()), F.when(one, F.lit(None)).otherwise(F.col("coords")).alias("coords"))
+
+
+def _span(side: float, lo: str, hi: str) -> tuple[Column, Column]:
+    return F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)
+
 
+def edge_cells(boxes: DataFrame, side: float) -> DataFrame:
+    """A row for each edge and cell (cy, cx) that its box touches."""
+    return boxes.withColumn("cy", F.explode(F.sequence(*_span(side, "south", "north")))).withColumn("cx", F.explode(F.sequence(*_span(side, "west", "east"))))
 
-def _met(points: DataFrame, edges: DataFrame, radius_m: float, how: str = "inner") -> DataFrame:
-    """points with link_id, offset_m, perp_m of edges whose box holds them: a grid join, and plain arithmetic where the edge is a single leg. A point lies in one cell, so there are no repeats."""
-    cells = kept(edge_cells(edges, radius_m), "cells")
+
+def _shared_cells(edges: DataFrame, radius_m: float) -> tuple[DataFrame, float]:
+    """Edges by cell, broadcast if they are few enough, and the side of these cells."""
+    boxes = kept(edge_boxes(edges, radius_m), "boxes")
     # Counted, not estimated: a plan of joins and explodes has no size of its own.
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
+    rows = lambda side: F.sum((_span(side, "south", "north")[1] - _span(side, "south", "north")[0] + 1) * (_span(side, "west", "east")[1] - _span(side, "west", "east")[0] + 1))
+    counts = boxes.agg(*(F.coalesce(rows(CELL / n), F.lit(0)) for n in PARTS)).first()
+    for n, count in zip(PARTS, counts, strict=True):
+        side = CELL / n
+        if count <= BROADCAST_CELLS:
+            return F.broadcast(edge_cells(boxes, side)), side
+    return edge_cells(boxes, CELL), CELL
+
+
+def _met(points: DataFrame, edges: DataFrame, radius_m: float) -> DataFrame:
+    """points with link_id, offset_m, perp_m of edges whose box holds them, or with nulls: a grid join, and plain arithmetic where the edge is a single leg. A point lies in one cell, so there are no repeats.
+
+    An outer join, as tests of the distance would else be made within it, for all edges of a cell.
+    """
+    cells, side = _shared_cells(edges, radius_m)
     lat, lon = F.col("p.lat"), F.col("p.lon")
     inside = lat.between(F.col("e.south"), F.col("e.north")) & lon.between(F.col("e.west"), F.col("e.east"))
-    rows = points.alias("p").join(cells.alias("e"), (F.floor(lat / CELL) == F.col("e.cy")) & (F.floor(lon / CELL) == F.col("e.cx")) & inside, how)
+    rows = points.alias("p").join(cells.alias("e"), (F.floor(lat / side) == F.col("e.cy")) & (F.floor(lon / side) == F.col("e.cx")) & inside, "left")
     rows = rows.select(*(F.col(f"p.`{c}`") for c in points.columns), *(F.col(f"e.{c}").alias("link_id" if c == "link_id" else f"__{c}") for c in ("link_id", "length_m", "a_lat", "a_lon", "dx", "dy", "size2", "coords")))
     leg = [F.col(f"__{c}") for c in ("size2", "dx", "dy", "a_lat", "a_lon")]
     rows = rows.withColumn("__t", geo.leg_share(*leg, F.col("lat"), F.col("lon")))
     rows = rows.withColumns({"__x": F.col("__a_lon") + F.col("__t") * F.col("__dx"), "__y": F.col("__a_lat") + F.col("__t") * F.col("__dy"), "__s": F.sqrt("__size2")})
-    rows = rows.withColumn("__line", F.when(F.col("__size2").isNull(), geo.projected(F.col("__coords"), F.col("__length_m"), F.col("lat"), F.col("lon"))))
+    rows = rows.withColumn("__line", F.when(F.col("__coords").isNotNull(), geo.projected(F.col("__coords"), F.col("__length_m"), F.col("lat"), F.col("lon"))))
     known = F.col("__s") > 0
     perp = F.when(known, geo.plane_m(F.col("lat"), F.col("lon"), F.col("__y"), F.col("__x"))).when(F.col("__s").isNull(), F.col("__line.perp_m")).otherwise(F.lit(float("inf")))
     offset = F.when(known, (F.lit(0.0) + F.col("__t") * F.col("__s")) / F.col("__s") * F.col("__length_m")).when(F.col("__s").isNull(), F.col("__line.offset_m")).otherwise(0.0)
@@ -160,7 +178,7 @@ def near_edges(points: DataFrame, edges: DataFrame, radius_m: float) -> DataFram
 def nearest_edge(points: DataFrame, edges: DataFrame, key: list[str], radius_m: float) -> DataFrame:
     """key with link_id, offset_m, perp_m of the nearest edge by (perp_m, link_id), null beyond the radius; a row for each key."""
     best = F.min(F.when(F.col("perp_m") <= radius_m, F.struct("perp_m", "link_id", "offset_m")))
-    rows = _met(points.select(*key, "lat", "lon"), edges, radius_m, "left").groupBy(*key).agg(best.alias("x"))
+    rows = _met(points.select(*key, "lat", "lon"), edges, radius_m).groupBy(*key).agg(best.alias("x"))
     return rows.select(*key, *(F.col(f"x.{c}").alias(c) for c in ("link_id", "offset_m", "perp_m")))
 
 

@@ -241,3 +241,9 @@ def test_inference_of_many_trips_at_once(spark):
                 assert r.prob == pytest.approx(sum(math.exp(x) for w, (x, _) in ways.items() if w[k - first] == i) / z, abs=1e-12)
                 assert r.mle == (best[k - first] == i)
                 assert r.mle_path == (tops[trip, k, i, best[k + 1 - first]][1] if r.mle and k < last else None)
+
+
+@pytest.mark.parametrize("name", ["project_widening", "emission_logpdf_all"])
+def test_distances_are_not_tested_within_the_join(spark, name):
+    join = next(x for x in plan(registry.queries()[name](spark, SF)).splitlines() if "BroadcastHashJoin" in x)
+    assert "aggregate(" not in join
