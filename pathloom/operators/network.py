@@ -137,7 +137,28 @@ def edge_cells(boxes: DataFrame, side: float) -> DataFrame:
     return boxes.withColumn("cy", F.explode(F.sequence(*_span(side, "south", "north")))).withColumn("cx", F.explode(F.sequence(*_span(side, "west", "east"))))
 
 
-def _shared_cells(edges: DataFrame, radius_m: float) -> tuple[DataFrame, float]:
+def could_be_nearest(cells: DataFrame, side: float) -> DataFrame:
+    """Without edges that are farther from every point of a cell than some other edge is from any of its points."""
+    south, west = F.col("cy") * side, F.col("cx") * side
+    # Degrees to a leg are convex, so they are most at a corner; metres are never more than a meridian's.
+    corners = [(y, x) for y in (south, south + side) for x in (west, west + side)]
+
+    def degrees(lat: Column, lon: Column) -> Column:
+        t = geo.leg_share(*(F.col(c) for c in ("size2", "dx", "dy", "a_lat", "a_lon")), lat, lon)
+        return F.hypot(F.col("a_lat") + t * F.col("dy") - lat, F.col("a_lon") + t * F.col("dx") - lon)
+
+    most = F.when(F.col("size2") > 0, F.greatest(*(degrees(*c) for c in corners))).otherwise(F.lit(float("inf"))) * geo.M_PER_DEGREE
+    zero = F.lit(0.0)
+    gap_lat = F.greatest(zero, F.col("lat_min") - south - side, south - F.col("lat_max"))
+    gap_lon = F.greatest(zero, F.col("lon_min") - west - side, west - F.col("lon_max"))
+    narrow = F.greatest(zero, F.cos(F.radians(F.greatest(F.abs(south), F.abs(south + side)))))
+    least = F.hypot(gap_lat, gap_lon * narrow) * geo.M_PER_DEGREE
+    rows = cells.withColumn("__bound", F.min(most).over(Window.partitionBy("cy", "cx")))
+    # A centimetre and a thousandth more than rounding can come to.
+    return rows.where(least * 0.999 - 0.01 <= F.col("__bound")).drop("__bound")
+
+
+def _shared_cells(edges: DataFrame, radius_m: float, nearest: bool) -> tuple[DataFrame, float]:
     """Edges by cell, broadcast if they are few enough, and the side of these cells."""
     boxes = kept(edge_boxes(edges, radius_m), "boxes")
     # Counted, not estimated: a plan of joins and explodes has no size of its own.
@@ -145,17 +166,21 @@ def _shared_cells(edges: DataFrame, radius_m: float) -> tuple[DataFrame, float]:
     counts = boxes.agg(*(F.coalesce(rows(CELL / n), F.lit(0)) for n in PARTS)).first()
     for n, count in zip(PARTS, counts, strict=True):
         side = CELL / n
+        if nearest and count <= 4 * BROADCAST_CELLS:
+            few = kept(could_be_nearest(edge_cells(boxes, side), side), "cells")
+            if few.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+                return F.broadcast(few), side
         if count <= BROADCAST_CELLS:
             return F.broadcast(edge_cells(boxes, side)), side
     return edge_cells(boxes, CELL), CELL
 
 
-def _met(points: DataFrame, edges: DataFrame, radius_m: float) -> DataFrame:
-    """points with link_id, offset_m, perp_m of edges whose box holds them, or with nulls: a grid join, and plain arithmetic where the edge is a single leg. A point lies in one cell, so there are no repeats.
+def _met(points: DataFrame, edges: DataFrame, radius_m: float, nearest: bool = False) -> DataFrame:
+    """points with link_id, offset_m, perp_m of edges whose box holds them (nearest: that could be the nearest), or with nulls: a grid join, and plain arithmetic where the edge is a single leg. A point lies in one cell, so there are no repeats.
 
     An outer join, as tests of the distance would else be made within it, for all edges of a cell.
     """
-    cells, side = _shared_cells(edges, radius_m)
+    cells, side = _shared_cells(edges, radius_m, nearest)
     lat, lon = F.col("p.lat"), F.col("p.lon")
     inside = lat.between(F.col("e.south"), F.col("e.north")) & lon.between(F.col("e.west"), F.col("e.east"))
     rows = points.alias("p").join(cells.alias("e"), (F.floor(lat / side) == F.col("e.cy")) & (F.floor(lon / side) == F.col("e.cx")) & inside, "left")
@@ -178,7 +203,7 @@ def near_edges(points: DataFrame, edges: DataFrame, radius_m: float) -> DataFram
 def nearest_edge(points: DataFrame, edges: DataFrame, key: list[str], radius_m: float) -> DataFrame:
     """key with link_id, offset_m, perp_m of the nearest edge by (perp_m, link_id), null beyond the radius; a row for each key."""
     best = F.min(F.when(F.col("perp_m") <= radius_m, F.struct("perp_m", "link_id", "offset_m")))
-    rows = _met(points.select(*key, "lat", "lon"), edges, radius_m).groupBy(*key).agg(best.alias("x"))
+    rows = _met(points.select(*key, "lat", "lon"), edges, radius_m, True).groupBy(*key).agg(best.alias("x"))
     return rows.select(*key, *(F.col(f"x.{c}").alias(c) for c in ("link_id", "offset_m", "perp_m")))
 
 

@@ -243,7 +243,40 @@ def test_inference_of_many_trips_at_once(spark):
                 assert r.mle_path == (tops[trip, k, i, best[k + 1 - first]][1] if r.mle and k < last else None)
 
 
+def test_cells_follow_the_radius(spark, monkeypatch):
+    """Small cells while they are few enough: a cell then holds few edges, and for the nearest edge only those that can be it."""
+    edges = registry.kept(registry.edges_of(spark))
+    held = {}
+    for most in (network.BROADCAST_CELLS, 2_000, 0):
+        monkeypatch.setattr(network, "BROADCAST_CELLS", most)
+        for radius, nearest in ((60.0, False), (200.0, False), (200.0, True)):
+            cells, side = network._shared_cells(edges, radius, nearest)
+            held[most, radius, nearest] = side, cells.groupBy("cy", "cx").count().agg(F.avg("count")).first()[0], "ResolvedHint" in cells._jdf.queryExecution().analyzed().toString()
+    assert held[200_000, 60.0, False][0] == held[200_000, 200.0, True][0] == network.CELL / 8 and held[0, 60.0, False][0] == network.CELL
+    assert all(known == (most > 0) for (most, _, nearest), (_, _, known) in held.items() if not nearest and most != 2_000)
+    assert held[200_000, 60.0, False][1] < held[0, 60.0, False][1] / 3 and held[200_000, 200.0, True][1] < held[200_000, 200.0, False][1] / 2
+
+
 @pytest.mark.parametrize("name", ["project_widening", "emission_logpdf_all"])
 def test_distances_are_not_tested_within_the_join(spark, name):
     join = next(x for x in plan(registry.queries()[name](spark, SF)).splitlines() if "BroadcastHashJoin" in x)
     assert "aggregate(" not in join
+
+
+def test_nearest_edges_with_few_and_with_all_cells(spark, monkeypatch):
+    """Long, short, crossing, equal and pointlike edges, far north: the same links with and without what cannot be the nearest."""
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for n in range(150):
+        lat, lon = 64.0 + draw.random() * 0.02, 20.0 + draw.random() * 0.04
+        far = draw.choice([0.0, 0.0003, 0.003, 0.02])
+        line = [(lon, lat)] + [(lon + draw.uniform(-far, far), lat + draw.uniform(-far, far)) for _ in range(draw.choice([1, 1, 1, 2, 4]))]
+        rows += [(2 * n + twin, [{"lon": x, "lat": y} for x, y in line], 10.0, min(y for _, y in line), max(y for _, y in line), min(x for x, _ in line), max(x for x, _ in line)) for twin in range(1 + n % 2)]
+    edges = spark.createDataFrame(rows, "link_id long, coords array<struct<lon double, lat double>>, length_m double, lat_min double, lat_max double, lon_min double, lon_max double")
+    points = spark.createDataFrame([(n, 63.998 + draw.random() * 0.024, 19.996 + draw.random() * 0.048) for n in range(3000)], "n long, lat double, lon double")
+    cut = {r.n: tuple(r) for r in network.nearest_edge(points, edges, ["n"], 150.0).collect()}
+    monkeypatch.setattr(network, "could_be_nearest", lambda cells, side: cells)
+    assert {r.n: tuple(r) for r in network.nearest_edge(points, edges, ["n"], 150.0).collect()} == cut
+    assert sum(x[1] is None for x in cut.values()) > 10 and len({x[1] for x in cut.values()}) > 50
