@@ -219,11 +219,12 @@ def project_widening(points: DataFrame, edges: DataFrame, key: list[str], radius
     while r < max_radius_m:
         r = min(2 * r, max_radius_m)
         rings.append(r)
-    # The rows of a ring come first in this order, so ranks and the least distance need one sort.
-    w = Window.partitionBy(*key).orderBy("perp_m", "link_id")
-    rows = near_edges(points, edges, rings[-1]).withColumns({"rank": F.row_number().over(w) - 1, "__least": F.first("perp_m").over(w)})
-    ring = F.coalesce(*(F.when(F.col("__least") <= x, F.lit(x)) for x in rings))
-    return rows.where((F.col("rank") < most) & (F.col("perp_m") <= ring)).drop("__least")
+    # Rows of a point come one after the other, so the least distance needs no sort, and fewer are left to be ranked.
+    own = Window.partitionBy(*key)
+    rows = near_edges(points, edges, rings[-1]).withColumn("__least", F.min("perp_m").over(own))
+    rows = rows.where(F.col("perp_m") <= F.coalesce(*(F.when(F.col("__least") <= x, F.lit(x)) for x in rings))).drop("__least")
+    rows = rows.withColumn("rank", F.row_number().over(own.orderBy("perp_m", "link_id")) - 1)
+    return rows.where(F.col("rank") < most)
 
 
 def perpendicular(rows: DataFrame, edges: DataFrame) -> DataFrame:

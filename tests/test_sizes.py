@@ -263,6 +263,13 @@ def test_distances_are_not_tested_within_the_join(spark, name):
     assert "aggregate(" not in join
 
 
+def test_points_are_ranked_after_the_ring_is_known(spark):
+    lines = [x for x in plan(registry.project_widening(spark, SF)).splitlines() if re.search(r"[-+] (Sort|Window|BroadcastHashJoin) ?", x)]
+    at = next(n for n, x in enumerate(lines) if "min(perp_m" in x)
+    # Least distance by window right on the join, then a sort of what is left.
+    assert "BroadcastHashJoin" in lines[at + 1] and "Sort [" in lines[at - 1] and "perp_m" in lines[at - 1]
+
+
 def test_nearest_edges_with_few_and_with_all_cells(spark, monkeypatch):
     """Long, short, crossing, equal and pointlike edges, far north: the same links with and without what cannot be the nearest."""
     import random
