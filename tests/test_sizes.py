@@ -287,3 +287,11 @@ def test_nearest_edges_with_few_and_with_all_cells(spark, monkeypatch):
     monkeypatch.setattr(network, "could_be_nearest", lambda cells, side: cells)
     assert {r.n: tuple(r) for r in network.nearest_edge(points, edges, ["n"], 150.0).collect()} == cut
     assert sum(x[1] is None for x in cut.values()) > 10 and len({x[1] for x in cut.values()}) > 50
+
+
+@pytest.mark.parametrize("name", ["diversity_filter_all", "cluster_paths_all"])
+def test_records_are_shuffled_once(spark, name):
+    got = registry.queries()[name](spark, SF)
+    assert plain(got.toPandas()) == plain(by_sql(name))
+    start = plan(registry.queries()[name](spark, SF))
+    assert start.count("Exchange hashpartitioning(") == 1
