@@ -6,6 +6,7 @@
    letters it imitates, for one or two of a repeated run, or for nothing where it only
    separates. A Viterbi decode under the trigram model picks the restored words. Tokens
    without such signs have one path through the lattice, themselves.
+   Once the features of 3. are known, tokens of which no reading can have one are not decoded.
 3. A logistic regression on stem features of the restored words scores the text. Features are
    word beginnings of STEMS letters and short whole words; those that go with label 1 are kept
    by their chi-squared statistic. It is fitted on at most SAMPLE labelled rows, chosen by hash
@@ -64,7 +65,10 @@ _CODES[0xD800:0xE000] = _OTHER
 _SIGNS = re.compile(r"[^\W\d_][0-9@$!|+(€£*#]+[^\W\d_]|(?<![\w.])[0-9@$!|+(€£]+[^\W\d_]{2}|[^\W\d_][0-9@$!|+€£*#]++\W*+$|([^\W\d_])\1|[^\W\d_][.\-_*~]++[^\W\d_]")
 _RUNS = re.compile(rf"(.)\1{{{RUN},}}", re.S)
 _SPACED = re.compile(r"(?<![\w@$!|])(?:[^\W_]|[@$!|])(?:[ .\-_*~](?:[^\W_]|[@$!|])){2,}(?![\w@$!|])")
+#: What each match of _SPACED has in it, found faster: its second and third letter.
+_SINGLES = re.compile(r"[ .\-_*~][\w@$!|][ .\-_*~][\w@$!|](?![^\W_]|[@$!|])")
 _WORDS = re.compile(r"[^\W\d_]+")
+_TWICE = re.compile(r"(.)\1+", re.S)
 
 
 @lru_cache(4096)
@@ -184,8 +188,11 @@ def restore(s: str, model: np.ndarray) -> str:
 
 def restored_words(token: str, model: np.ndarray) -> list[str]:
     """The words of a token in lower case, restored where it shows signs of disguise."""
-    if _SIGNS.search(token):
+    letters = token.isalpha()
+    if (_TWICE if letters else _SIGNS).search(token):
         token = restore(token, model)
+    elif letters:
+        return [token]
     return _WORDS.findall(token)
 
 
@@ -205,20 +212,75 @@ def features(words: list[str]) -> set[str]:
 
 
 class _Tokens(Bounded):
-    """Features of a token, remembered; only those in known, if given."""
+    """Features of a token, remembered; only those in known, if given. Tokens without features are in none."""
 
     def __init__(self, model: np.ndarray, known: dict[str, int] | None = None):
         super().__init__(TOKEN_BYTES)
         self.model, self.known = model, known
+        self.none: set[str] = set()
+        self.names: dict[str, str] = {}
+        self.heads = {f.removesuffix("$")[: STEMS[0]] for f in known or ()}
+        self.begins, self.whole = ({_TWICE.sub(r"\1", f.removesuffix("$")) for f in known or () if f.endswith("$") == end} for end in (False, True))
+        self.starts = {f[:i] for f in self.begins | self.whole for i in range(1, len(f) + 1)}
+
+    def clear(self) -> None:
+        super().clear()
+        self.none.clear()
+        self.names.clear()
+
+    def possible(self, token: str) -> bool:
+        """Whether a reading of the token can have a known feature: runs of a letter count as one on both sides, so that false is certain."""
+        plain, opens, live = token.isalpha(), True, set()
+        for c in token:
+            if c.isalpha():
+                read, ahead = c, set()
+            elif c.isalnum() and not c.isdecimal():
+                return True
+            elif live.isdisjoint(self.whole):
+                read, ahead = IMITATES.get(c, ""), set(live)
+            else:
+                return True
+            for x in read:
+                for before in (*live, "") if opens else live:
+                    word = before if before.endswith(x) else before + x
+                    if word in self.begins:
+                        return True
+                    if word in self.starts:
+                        ahead.add(word)
+            live, opens = ahead, not c.isalpha()
+            if plain and not live:
+                return False
+        return not live.isdisjoint(self.whole)
+
+    def words(self, token: str) -> list[str]:
+        """The restored words, or none where no reading has a known feature: then nothing is decoded."""
+        if self.known is not None:
+            if token.isalpha():
+                if not _TWICE.search(token):
+                    return [token] if token[: STEMS[0]] in self.heads else []
+                if not self.possible(token):
+                    return []
+            elif _SIGNS.search(token) and not self.possible(token):
+                return []
+        return restored_words(token, self.model)
 
     def __missing__(self, token: str) -> tuple:
-        words = restored_words(token, self.model)
+        words = self.words(token)
         if self.known is None:
-            out = tuple(features(words))
-            size = 48 + sum(map(len, out)) + 68 * len(out)
+            # Many tokens share a feature, which is held once.
+            names, size, out = self.names, 48, []
+            for f in features(words):
+                if (held := names.get(f)) is None:
+                    held = names[f] = f
+                    size += 160 + len(f)
+                out.append(held)
+            out = tuple(out)
+            size += 8 * len(out)
         else:
             known, found = self.known, set()
             for w in words:
+                if w[: STEMS[0]] not in self.heads:
+                    continue
                 if len(w) <= STEMS[-1] and w + "$" in known:
                     found.add(known[w + "$"])
                 for k in STEMS:
@@ -227,24 +289,46 @@ class _Tokens(Bounded):
                     if w[:k] in known:
                         found.add(known[w[:k]])
             out = tuple(sorted(found))
-            # Most have none, and share one empty tuple.
             size = 48 + 8 * len(out) if out else 0
         self.keep(token, out, size)
+        if not out:
+            del self[token]
+            self.none.add(token)
         return out
 
 
+def _spelled_words(text: str, tokens: _Tokens) -> Iterator[str]:
+    """The words of letters set apart in a lower-case text."""
+    if _SINGLES.search(text):
+        for m in _SPACED.findall(text):
+            yield from _WORDS.findall(restore(m, tokens.model))
+
+
 def feature_counts(text: str, tokens: _Tokens) -> Counter:
     text = text.lower()
     count: Counter = Counter()
-    for m in _SPACED.findall(text):
-        for word in _WORDS.findall(restore(m, tokens.model)):
-            count.update(tokens[word])
-    for token, n in Counter(text.split()).items():
-        for f in tokens[token]:
-            count[f] += n
+    for word in _spelled_words(text, tokens):
+        count.update(tokens[word])
+    all_words = text.split()
+    found = {token: f for token in set(all_words).difference(tokens.none) if (f := tokens[token])}
+    if found:
+        for token, n in Counter(w for w in all_words if w in found).items():
+            for f in found[token]:
+                count[f] += n
     return count
 
 
+def feature_set(text: str, tokens: _Tokens) -> set:
+    """The features of feature_counts without their numbers."""
+    text = text.lower()
+    found: set = set()
+    for word in _spelled_words(text, tokens):
+        found.update(tokens[word])
+    for token in set(text.split()).difference(tokens.none):
+        found.update(tokens[token])
+    return found
+
+
 # The classifier
 
 
@@ -261,7 +345,7 @@ def _frequencies(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                (yes if toxic else no).update(["", *feature_counts(text.as_py() or "", tokens)])
+                (yes if toxic else no).update(["", *feature_set(text.as_py() or "", tokens)])
                 if len(yes) + len(no) > HELD:
                     yield out()
         yield out()
